@@ -23,7 +23,7 @@ SWITCH, FOREIGN = 12.0, 60.0
 #: A language uses a script that holds this share of its letters.
 SHARE = 0.02
 #: Characters of texts that are scored at once; bounds memory, changes no result.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 
 # First code points of script ranges and the script's name. Letters before the first are Latin.
 SCRIPTS = [
