@@ -12,10 +12,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The model is fitted on at most so many documents of each language, and on at most so many languages.
+#: The model is fitted on about so many documents of each language, and on at most so many languages.
 SAMPLE, LANGUAGES = 1500, 200
 BUCKETS = 1 << 17
 #: Nats that a change of language costs, and what a word in a script that a language doesn't use costs it.
@@ -180,16 +180,17 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: str = "true") -> Model:
-    """Fits on at most SAMPLE documents of each language, those with the smallest hash of id, where ``learn`` holds."""
+    """Fits on about SAMPLE documents of each language (never over twice that in all) where ``learn``, a predicate on
+    doc_id, holds: those whose hash of id falls under the language's share. Languages are counted first."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # ids first: only what is sampled has its text moved
-    known = rows.filter(learn).filter("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    held = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = known.withColumn("at", F.row_number().over(held)).filter(F.col("at") <= SAMPLE).select("doc_id", "lang")
-    langs = [r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(picked.filter(F.col("lang").isin(langs)).distinct()), ["doc_id", "lang"])
-    found = sample.select("lang", "text").collect()  # at most SAMPLE * LANGUAGES texts
-    return Model(sorted(langs), [[r["text"] for r in found if r["lang"] == x] for x in sorted(langs)])
+    known = rows.filter(learn).filter("lang is not null and text is not null")
+    langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    chosen = F.lit(False)
+    for x, n in langs.items():
+        chosen = chosen | ((F.col("lang") == x) & (at < min(1 << 30, (SAMPLE << 30) // n)))
+    found = known.filter(chosen).select("lang", "text").limit(2 * SAMPLE * max(1, len(langs))).collect()
+    return Model(sorted(langs), [sorted(r["text"] for r in found if r["lang"] == x) for x in sorted(langs)])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
