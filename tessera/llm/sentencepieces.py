@@ -48,6 +48,8 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.longest = max(map(len, self.pieces), default=1)
+        # the pieces read from their ends: each suffix of a piece, with the piece that it is or -1
+        self.endings = {p[k:]: -1 for p in self.pieces for k in range(len(p))} | {p: i for p, (i, _) in self.pieces.items()}
         self.lowest = min((s for _, s in self.pieces.values()), default=0.0)
         text = {NORMAL: lambda p: p.piece.encode(), BYTE: lambda p: bytes([int(p.piece[3:5], 16)]), UNKNOWN: lambda p: spec.unk_surface.encode()}
         self.surfaces = [text.get(p.type, lambda p: b"")(p) for p in model.pieces]
@@ -90,8 +92,33 @@ class Transducer:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
-    def path(self, word: str) -> list[int]:
-        """The shortest path's output for one normalised word."""
+    def unique(self, word: str) -> list[int]:
+        """The output of the only path that the BPE machine has for one normalised word."""
+        ending, fits, size, n = self.endings.get, self.fits, self.size, len(word)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        for e in range(1, n + 1):
+            begin[e] = e - 1  # byte fallback, after which no piece depends on what came before
+            for b in range(e - 1, -1, -1):
+                if (piece := ending(word[b:e])) is None:
+                    break
+                if piece >= 0:
+                    if (fit := fits.get((last[b] + 1) * size + piece)) is None:
+                        fit = self.allowed(last[b], piece)
+                    if fit:
+                        last[e], begin[e] = piece, b
+                        break
+        out, e = [], n
+        while e:
+            if last[e] >= 0:
+                out.append(last[e])
+            else:
+                out += reversed(self.fallback(word[e - 1]))
+            e = begin[e]
+        out.reverse()
+        return out
+
+    def shortest(self, word: str) -> list[int]:
+        """The output of the path with the least sum of weights for one normalised word."""
         get, n = self.pieces.get, len(word)
         last, length, cost = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
         for e in range(1, n + 1):
@@ -99,26 +126,22 @@ class Transducer:
             for k in range(1, min(self.longest, e) + 1):
                 if (piece := get(word[e - k : e])) is None:
                     continue
-                if self.bpe:
-                    if not self.allowed(last[e - k], piece[0]):
-                        continue
-                    found, last[e], length[e] = True, piece[0], k
-                    break
                 if not found or cost[e - k] - piece[1] < best:
                     found, best, last[e], length[e] = True, cost[e - k] - piece[1], piece[0], k
-            if not self.bpe and word[e - 1] not in self.pieces and (not found or cost[e - 1] - self.lowest + 10 < best):
-                found, best, last[e], length[e] = False, cost[e - 1] - self.lowest + 10, -1, 1
-            if not found:
-                last[e], length[e] = -1, 1  # byte fallback, after which no piece depends on what came before
+            if word[e - 1] not in self.pieces and (not found or cost[e - 1] - self.lowest + 10 < best):
+                best, last[e], length[e] = cost[e - 1] - self.lowest + 10, -1, 1
             cost[e] = best
         out, e = [], n
         while e:
             out.append([last[e]] if last[e] >= 0 else self.fallback(word[e - 1]))
             e -= length[e]
-        flat = [i for x in reversed(out) for i in x]
+        return [i for x in reversed(out) for i in x]
+
+    def path(self, word: str) -> list[int]:
+        ids = self.unique(word) if self.bpe else self.shortest(word)
         if not self.bytes:  # neighbouring unknown characters are one unknown piece
-            flat = [i for k, i in enumerate(flat) if i != self.unknown or not k or flat[k - 1] != self.unknown]
-        return flat
+            ids = [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != self.unknown]
+        return ids
 
     # ------------------------------------------------------------ use
     def encode(self, text: str) -> bytes:
