@@ -23,7 +23,7 @@ SWITCH, FOREIGN = 12.0, 60.0
 #: A language uses a script that holds this share of its letters.
 SHARE = 0.02
 #: Characters of texts that are scored at once; bounds memory, changes no result.
-BLOCK = 1_500_000
+BLOCK = 400_000
 
 # First code points of script ranges and the script's name. Letters before the first are Latin.
 SCRIPTS = [
@@ -166,17 +166,19 @@ def spans(model: Model, text: str, switch: float = SWITCH) -> list[tuple[int, in
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """The language with most letters in the labelled spans of each text, and its share of the letters."""
-    langs, shares = [], []
-    k = max(1, len(model.langs))
-    for block in blocks([t or "" for t in texts]):
+    langs, shares = np.full(len(texts), "und", object), np.zeros(len(texts))
+    k, order = max(1, len(model.langs)), sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))  # long texts step together
+    at = 0
+    for block in blocks([texts[i] or "" for i in order]):
         words, path, _ = label(model, block)
         held = np.bincount(words.text * k + path, words.length, minlength=len(block) * k).reshape(-1, k)
         total = held.sum(axis=1)
         top = held.argmax(axis=1)
         for i, n in enumerate(total):
-            langs.append(model.langs[top[i]] if n and model.langs else "und")
-            shares.append(held[i, top[i]] / n if n and model.langs else 0.0)
-    return langs, np.array(shares)
+            if n and model.langs:
+                langs[order[at + i]], shares[order[at + i]] = model.langs[top[i]], held[i, top[i]] / n
+        at += len(block)
+    return langs.tolist(), shares
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: str = "true") -> Model:

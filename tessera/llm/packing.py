@@ -31,13 +31,15 @@ PATTERNS = 6000
 
 # ---------------------------------------------------------------- tokens
 @cache
-def _coders(json_path: str, ranks_path: str | None):
-    """The JSON tokenizer, and a faster coder of the same vocabulary for texts on which the two agree by rule."""
+def _full(json_path: str):
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(json_path)
-    if not ranks_path:
-        return full, None
+    return Tokenizer.from_file(json_path)
+
+
+@cache
+def _fast(ranks_path: str):
+    """A faster coder of the same vocabulary, for texts on which the two agree by rule."""
     import base64
 
     import public_tokenizers
@@ -45,7 +47,7 @@ def _coders(json_path: str, ranks_path: str | None):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return full, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Outside these (letters, marks and signs that every Unicode version classes alike) the JSON tokenizer itself is used.
@@ -54,12 +56,11 @@ _BEYOND = regex.compile(r"[^\x00-\x1b\x20-˿Ͱ-ͷΑ-ΡΣ-ϿЀ-ҁҊ-ԯ‐-‧‰-
 
 def encode(texts: list[str], json_path: str, ranks_path: str | None = None) -> Iterator[np.ndarray]:
     """Ids of each text, as the JSON tokenizer gives them without special tokens added."""
-    full, fast = _coders(json_path, ranks_path)
     for t in texts:
-        if fast is not None and not _BEYOND.search(t):
-            yield np.array(fast.encode_ordinary(t), "<u4")
+        if ranks_path and not _BEYOND.search(t):
+            yield np.array(_fast(ranks_path).encode_ordinary(t), "<u4")
         else:
-            yield np.array(full.encode(t, add_special_tokens=False).ids, "<u4")
+            yield np.array(_full(json_path).encode(t, add_special_tokens=False).ids, "<u4")
 
 
 def pieces(df: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
