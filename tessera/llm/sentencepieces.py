@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Words whose paths are remembered at once in a process; a bound on memory that changes no result.
-REMEMBERED = 400_000
+#: Words in each of the two tables of remembered paths in a process; a bound on memory that changes no result.
+REMEMBERED = 450_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -59,6 +60,7 @@ class Transducer:
         self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if parts and line else f"{MARK}*[^{MARK}]+|{MARK}+" if parts else r"(?s).+")
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # ------------------------------------------------------------ machines
     def normalise(self, text: str) -> str:
@@ -149,10 +151,13 @@ class Transducer:
         out, known = [], self.known
         for word in self.words.findall(self.normalise(text)):
             if (ids := known.get(word)) is None:
-                ids = np.array(self.path(word), "<u4").tobytes()
+                if (ids := self.older.get(word)) is None:
+                    path = self.path(word)
+                    ids = pack(f"<{len(path)}I", *path)
                 if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # words in use move on to the younger table, the others are forgotten with the older
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[word] = ids
             out.append(ids)
         return b"".join(out)
