@@ -6,6 +6,7 @@ tables go to the folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,6 +42,18 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Of texts on their way to Python at once. Texts can be long, so bytes count too; a session's lower setting stays.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to a size of which Python workers can hold a few copies."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{key}", "")) or 0)
+        if not 0 < own <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The model is fitted on about so many documents of each language, and on at most so many languages.
 SAMPLE, LANGUAGES = 1500, 200
 BUCKETS = 1 << 17
@@ -22,8 +24,8 @@ BUCKETS = 1 << 17
 SWITCH, FOREIGN = 12.0, 60.0
 #: A language uses a script that holds this share of its letters.
 SHARE = 0.02
-#: Characters of texts that are scored at once; bounds memory, changes no result.
-BLOCK = 400_000
+#: Characters of texts that are scored at once, and that Viterbi goes through at once; they bound memory and change no result.
+BLOCK, GROUP = 400_000, 4_000_000
 
 # First code points of script ranges and the script's name. Letters before the first are Latin.
 SCRIPTS = [
@@ -97,12 +99,12 @@ class Model:
         return np.add.reduceat(self.logs[words.buckets], words.first, axis=0) + self.foreign[words.script]
 
 
-def blocks(texts: list[str]) -> Iterator[list[str]]:
+def blocks(texts: list[str], most: int = BLOCK) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t) + 1
-        if size >= BLOCK:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -169,15 +171,23 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     langs, shares = np.full(len(texts), "und", object), np.zeros(len(texts))
     k, order = max(1, len(model.langs)), sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))  # long texts step together
     at = 0
-    for block in blocks([texts[i] or "" for i in order]):
-        words, path, _ = label(model, block)
-        held = np.bincount(words.text * k + path, words.length, minlength=len(block) * k).reshape(-1, k)
+    for group in blocks([texts[i] or "" for i in order], GROUP):
+        scores, text, length, n = [], [], [], 0
+        for block in blocks(group):
+            words = Words(block)
+            scores.append(model.words(words))
+            text.append(words.text + n)
+            length.append(words.length)
+            n += len(block)
+        text = np.concatenate(text)
+        path = viterbi(np.concatenate(scores), text, n)
+        held = np.bincount(text * k + path, np.concatenate(length), minlength=n * k).reshape(-1, k)
         total = held.sum(axis=1)
         top = held.argmax(axis=1)
         for i, n in enumerate(total):
             if n and model.langs:
                 langs[order[at + i]], shares[order[at + i]] = model.langs[top[i]], held[i, top[i]] / n
-        at += len(block)
+        at += n
     return langs.tolist(), shares
 
 
@@ -201,6 +211,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null texts and texts without a letter: ``und`` and 0, as are all texts if nothing could be learned. Null and
     repeated ids stay as they are; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a language
 
     @F.pandas_udf("lang_pred string, score double")

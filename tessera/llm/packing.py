@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, table
+from .common import ranked, small_batches, table
 
 CAPACITY = 2048
 #: Patterns offered to the fit; a bound on the driver's work, not on what is packed.
@@ -66,6 +66,7 @@ def encode(texts: list[str], json_path: str, ranks_path: str | None = None) -> I
 def pieces(df: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each document's ids and a final 0. Only documents longer than
     ``capacity`` are cut; all pieces but the first then have that length."""
+    small_batches(df.sparkSession)
     schema = T.StructType(
         [T.StructField("_id", df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]]
     )

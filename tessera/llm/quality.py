@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: The model is fitted on about so many labelled documents: those whose hash of id falls under their share.
 SAMPLE = 12_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 12
@@ -196,6 +198,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
     Null text is scored as the empty text; ids play no part. An empty table gives an empty result. If there was
     nothing to learn from, every score is the smoothed share of label 1.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @F.pandas_udf("double")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 # Fixed patterns: letters of keywords in either case (ASCII), lengths are checked after matching.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -219,6 +221,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null text counts as empty and has no findings. Ids may be null or repeat. An empty table gives an empty
     result. Other columns are not read.
     """
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("_id"), _scans(F.col(text_col)).alias("_found")).select(F.col("_id").alias(id_col), "_found.*")
 
 
@@ -242,4 +245,5 @@ def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the secrets of its text column masked; all rows and other columns stay."""
+    small_batches(df.sparkSession)
     return df.withColumn(text_col, _redacted(F.col(text_col)))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MARK = "▁"
 #: Words in each of the two tables of remembered paths in a process; a bound on memory that changes no result.
 REMEMBERED = 450_000
@@ -183,6 +185,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     ``model_path`` is a file that every executor has. Null and empty texts have no ids and decode to the empty text.
     Null and repeated ids stay as they are; an empty table gives an empty result. Other columns are not read.
     """
+    small_batches(df.sparkSession)
     fields = [("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("decoded_crc32", T.LongType()), ("exact", T.BooleanType())]
     fields += [("ids", T.ArrayType(T.LongType())), ("decoded", T.StringType())] if keep else []
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, components, table
+from .common import attach, components, small_batches, table
 
 BITS, DIFFER, SEGMENTS = 64, 2, 2
 SEED = 42
@@ -88,6 +88,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component_id, which is null only where a group has no id at all. Repeated rows give repeated rows. An empty
     table gives an empty result. Other columns are not read.
     """
+    small_batches(df.sparkSession)
     docs = table(df.select(F.col(id_col).alias("_id"), _fingerprints(F.col(text_col)).alias("fp")))
     prints = table(docs.groupBy("fp").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")))
     rooted = components(links(prints))
