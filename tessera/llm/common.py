@@ -49,8 +49,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 def small_batches(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to a size of which Python workers can hold a few copies."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        own = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{key}", "")) or 0)
-        if not 0 < own <= most:
+        own = re.fullmatch(r"(\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not own or not 0 < int(own[1]) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 

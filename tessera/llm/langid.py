@@ -184,9 +184,9 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
         held = np.bincount(text * k + path, np.concatenate(length), minlength=n * k).reshape(-1, k)
         total = held.sum(axis=1)
         top = held.argmax(axis=1)
-        for i, n in enumerate(total):
-            if n and model.langs:
-                langs[order[at + i]], shares[order[at + i]] = model.langs[top[i]], held[i, top[i]] / n
+        for i, letters in enumerate(total):
+            if letters and model.langs:
+                langs[order[at + i]], shares[order[at + i]] = model.langs[top[i]], held[i, top[i]] / letters
         at += n
     return langs.tolist(), shares
 
