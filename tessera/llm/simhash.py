@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, components, small_batches, table
+from .common import attach, components, partitions, small_batches, table
 
 BITS, DIFFER, SEGMENTS = 64, 2, 2
 SEED = 42
@@ -65,7 +65,9 @@ def links(prints: DataFrame) -> DataFrame:
         value = F.shiftrightunsigned("fp", half * segment).bitwiseAND(F.lit((1 << half) - 1))
         return F.transform(wild, lambda w: F.xxhash64(F.lit(segment), w, value.bitwiseAND(F.bitwise_not(w))))
 
-    index = prints.select("fp", F.explode(F.concat(*map(keys, range(SEGMENTS)))).alias("key"))
+    # dealt out anew: few files hold the fingerprints, but each gives 66 keys, of which a task keeps a table
+    dealt = prints.select("fp").repartition(max(2, partitions(prints.sparkSession)), "fp")
+    index = dealt.select("fp", F.explode(F.concat(*map(keys, range(SEGMENTS)))).alias("key"))
     # A key is the hash of (segment, wildcard, rest): a chance clash only adds a candidate, which is verified.
     met = table(index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DIFFER
