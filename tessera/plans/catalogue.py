@@ -2,5 +2,684 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import arrays, geometry, text
+from tessera.operators import enrich, packing, reshape, sampling, scoring, stats, templates, vectors
+from tessera.schemas import PAIR_SPLIT, TURN_SPLIT
+from tessera.sources import writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- n-gram entropy and token statistics
+def _entropy(n: int):
+    words = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+    gram = f"list_slice(w, g.i, g.i + {n - 1})"
+    sql = f"""
+        WITH d AS (SELECT lang, {words} AS w FROM documents),
+             g AS (SELECT lang, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM d WHERE len(w) >= {n}),
+             c AS (SELECT lang, {gram} AS gram, count(*) AS c FROM g GROUP BY ALL),
+             p AS (SELECT lang, list_slice(gram, 1, {n - 1}) AS prefix, sum(c)::DOUBLE AS p, sum(c * log2(c)) AS s FROM c GROUP BY ALL)
+        SELECT lang, sum(p)::BIGINT AS n_grams, round(sum(p * log2(p) - s) / sum(p), 6) AS h FROM p GROUP BY lang
+    """
+
+    @query(sql, f"ngram_entropy_n{n}_by_lang")
+    def run(spark, sf_dir):
+        docs = read(spark, sf_dir, "documents").select("lang", stats.words_of(F.col("text")).alias("w"))
+        return stats.conditional_entropy(docs, "w", n, ["lang"]).select("lang", "n_grams", F.round("h", 6).alias("h"))
+
+
+for _n in (1, 2, 3):
+    _entropy(_n)
+
+
+@query("""
+    WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS t, unnest(range(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))) AS p FROM documents),
+         o AS (SELECT row_number() OVER (ORDER BY doc_id, p) AS r, t FROM w),
+         g AS (SELECT a.t AS x, b.t AS y, count(*) AS c FROM o a JOIN o b ON b.r = a.r + 1 GROUP BY ALL),
+         p AS (SELECT x, sum(c)::DOUBLE AS p, sum(c * log2(c)) AS s FROM g GROUP BY x)
+    SELECT sum(p)::BIGINT AS n_grams, round(sum(p * log2(p) - s) / sum(p), 6) AS h FROM p
+""")
+def ngram_entropy_cross_document(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", stats.words_of(F.col("text")).alias("w"))
+    return stats.conditional_entropy(docs, "w", 2, [], cross=["doc_id"]).select("n_grams", F.round("h", 6).alias("h"))
+
+
+@query("""
+    WITH d AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+         g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d WHERE len(w) > 1)
+    SELECT gram, count(*) AS c FROM g GROUP BY gram ORDER BY c DESC, gram LIMIT 50
+""")
+def ngram_topk(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(stats.words_of(F.col("text")).alias("w"))
+    return stats.ngram_counts(docs, "w", 2, []).select(F.array_join("gram", " ").alias("gram"), "c").orderBy(F.desc("c"), "gram").limit(50)
+
+
+@query("""
+    WITH d AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS t,
+                      len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND length(w) >= 8)) AS v FROM documents)
+    SELECT source, sum(t - v)::BIGINT AS text_tokens, sum(v)::BIGINT AS vision_tokens, count(*) AS samples, round(sum(v) / sum(t), 6) AS vision_share FROM d GROUP BY source
+""")
+def token_modality_stats(spark, sf_dir):
+    words = stats.words_of(F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("source", F.size(words).alias("t"), F.size(F.filter(words, lambda w: F.length(w) >= 8)).alias("v"))
+    return stats.modality_totals(docs, F.col("t"), F.col("v"), ["source"]).withColumn("vision_share", F.round("vision_share", 6))
+
+
+# ---------------------------------------------------------------- unions, samples and splits
+@query("""
+    WITH d AS (SELECT doc_id AS id, text, 'documents' AS origin, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
+         b AS (SELECT item_id AS id, text, 'benchmark' AS origin FROM benchmark)
+    SELECT id, text, origin FROM d WHERE r < floor(n * 0.3) UNION ALL SELECT id, text, origin FROM b
+""")
+def unify_union_head_fraction(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("documents").alias("origin"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("benchmark").alias("origin"))
+    return sampling.mixed([(docs, 0.3), (items, 1.0)], ["id"])
+
+
+@query("""
+    WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws(':', doc_id::VARCHAR, '7')), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
+    SELECT doc_id, r AS place, (r % 6)::INT AS strided, (ntile(8) OVER (ORDER BY r) - 1)::INT AS contiguous, (r // 64)::INT AS batch FROM r
+""")
+def hash_shuffle_shards(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id").withColumn("h", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("7"))))
+    placed = sampling.ordinal(docs, ["h", "doc_id"], "place")
+    whole = sampling.contiguous(placed, ["h", "doc_id"], 8, "contiguous")
+    return whole.select("doc_id", "place", F.pmod("place", F.lit(6)).cast("int").alias("strided"), "contiguous", F.floor(F.col("place") / 64).cast("int").alias("batch"))
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)
+    SELECT o_orderkey, ((r >= round_even(1.0 * n / 3, 0))::INT + (r >= round_even(2.0 * n / 3, 0))::INT) AS shard FROM r
+""")
+def proportional_slices(spark, sf_dir):
+    return sampling.proportional(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 3)
+
+
+@query("""
+    SELECT count(*) AS n, count(*) FILTER (text IS NOT NULL AND text NOT IN ('', 'no')) AS usable, count(*) FILTER (quality = 1) AS good,
+           count(*) FILTER (lang IN ('en', 'de') AND n_chars > 1000) AS long_en_de, count(*) FILTER (doc_id % 2 = 0) AS even FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def quality_filters_report(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(sampling.usable_text(F.col("text"))).alias("usable"), F.count_if(F.col("quality") == 1).alias("good"),
+        F.count_if(F.col("lang").isin("en", "de") & (F.col("n_chars") > 1000)).alias("long_en_de"), F.count_if(F.col("doc_id") % 2 == 0).alias("even"),
+    )
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_size + 100 AS w, p_partkey % 97 + 60 AS h FROM part)
+    SELECT p_partkey, w::INT AS w, h::INT AS h, greatest(w, h)::INT AS side, ((greatest(w, h) - w) // 2)::INT AS pad_left,
+           CASE WHEN w <= h THEN 512 ELSE floor(w * 512 / h)::INT END AS crop_w, CASE WHEN h <= w THEN 512 ELSE floor(h * 512 / w)::INT END AS crop_h
+    FROM p WHERE greatest(w, h) / least(w, h) <= 2.5
+""")
+def aspect_geometry_filter(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 100).cast("int").alias("w"), (F.col("p_partkey") % 97 + 60).cast("int").alias("h"))
+    w, h = F.col("w"), F.col("h")
+    kept = rows.filter(geometry.aspect_ok(w, h))
+    square, crop = geometry.pad_square(w, h), geometry.centre_crop(w, h)
+    return kept.select("p_partkey", "w", "h", square["side"].alias("side"), square["left"].alias("pad_left"), crop["width"].alias("crop_w"), crop["height"].alias("crop_h"))
+
+
+@query("""
+    SELECT doc_id, d.crop, CASE WHEN d.crop % 2 = 0 THEN 0 ELSE (n_chars % 1000) // 2 END::INT AS "left", CASE WHEN d.crop < 2 THEN 0 ELSE (n_chars % 700) // 2 END::INT AS top FROM documents, (SELECT unnest([0, 1, 2])::INT AS crop) d
+""")
+def crop_quadrants(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 1000).alias("width"), (F.col("n_chars") % 700).alias("height"))
+    return geometry.quadrants(rows, 3).select("doc_id", "crop", "left", "top")
+
+
+# ---------------------------------------------------------------- dialogues and templates
+_TURNS = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system'"
+
+
+def _dialogues(spark, sf_dir) -> DataFrame:
+    return templates.messages_of(read(spark, sf_dir, "conversations").filter("role <> 'system'"))
+
+
+def _texts(messages):
+    return F.transform(templates.chat_pairs(messages), lambda p: F.struct(p["asked"].alias("user"), p["answered"].alias("assistant")))
+
+
+@query(f"""
+    WITH t AS ({_TURNS}), p AS (SELECT a.conv_id, a.i // 2 AS pair, a.text AS u, b.text AS v FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.i = a.i + 1 WHERE a.i % 2 = 0)
+    SELECT conv_id, (2 * pair)::INT AS place, 'human' AS sender, u AS value FROM p UNION ALL SELECT conv_id, (2 * pair + 1)::INT, 'assistant', v FROM p
+""")
+def dialogue_to_conversations(spark, sf_dir):
+    rows = _dialogues(spark, sf_dir).select("conv_id", F.posexplode(reshape.pairs_to_conversations(_texts(F.col("messages")))).alias("place", "m"))
+    return rows.select("conv_id", "place", F.col("m.from").alias("sender"), F.col("m.value").alias("value"))
+
+
+_FLAT = f"""
+    t AS ({_TURNS}), p AS (SELECT a.conv_id, a.i // 2 AS pair, coalesce(a.text, '') || '{PAIR_SPLIT}' || coalesce(b.text, '') AS s FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.i = a.i + 1 WHERE a.i % 2 = 0),
+    f AS (SELECT conv_id, string_agg(s, '{TURN_SPLIT}' ORDER BY pair) AS flat FROM p GROUP BY conv_id)
+"""
+
+
+@query(f"WITH {_FLAT} SELECT conv_id, flat FROM f")
+def dialogue_flatten(spark, sf_dir):
+    return _dialogues(spark, sf_dir).select("conv_id", reshape.flatten_dialogue(_texts(F.col("messages"))).alias("flat"))
+
+
+@query(f"""
+    WITH {_FLAT}, s AS (SELECT conv_id, unnest(string_split(flat, '{TURN_SPLIT}')) AS turn, unnest(range(len(string_split(flat, '{TURN_SPLIT}')))) AS k FROM f)
+    SELECT conv_id, (2 * k)::INT AS place, string_split(turn, '{PAIR_SPLIT}')[1] AS value FROM s UNION ALL SELECT conv_id, (2 * k + 1)::INT, string_split(turn, '{PAIR_SPLIT}')[2] FROM s
+""")
+def dialogue_split_roundtrip(spark, sf_dir):
+    flat = reshape.flatten_dialogue(_texts(F.col("messages")))
+    rows = _dialogues(spark, sf_dir).select("conv_id", F.posexplode(reshape.split_dialogue(flat)).alias("place", "m"))
+    return rows.select("conv_id", "place", F.col("m.value").alias("value"))
+
+
+def _sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _template(kind: str, name: str) -> None:
+    t = templates.template(name)
+    role = f"CASE role WHEN 'user' THEN {_sql(t.roles[0])} ELSE {_sql(t.roles[1])} END"
+    end = f"CASE WHEN i % 2 = 0 THEN {_sql(t.sep)} ELSE {_sql(t.sep if t.sep2 is None else t.sep2)} END"
+    system = f"<<SYS>>\n{t.system}\n<</SYS>>\n\n" if t.system else ""
+    head, each = {
+        "single": (t.system + t.sep, f"CASE WHEN text <> '' THEN {role} || ': ' || text || {_sql(t.sep)} ELSE {role} || ':' END"),
+        "two": (t.system + t.sep, f"CASE WHEN text <> '' THEN {role} || ': ' || text || {end} ELSE {role} || ':' END"),
+        "mpt": (t.system + t.sep, f"CASE WHEN text <> '' THEN {role} || text || {_sql(t.sep)} ELSE {role} END"),
+        "gemma": (t.system + t.sep, f"'<start_of_turn>' || {role} || chr(10) || CASE WHEN text <> '' THEN text || '<end_of_turn>' || chr(10) || {end} ELSE '' END"),
+        "plain": (t.system, f"CASE WHEN text <> '' THEN text || {end} ELSE '' END"),
+        "llama_2": ("", f"CASE WHEN i % 2 = 0 THEN {_sql(t.sep)} || '[INST] ' || CASE WHEN i = 0 THEN {_sql(system)} ELSE '' END || text || ' [/INST]' ELSE ' ' || text || ' ' || {_sql(t.sep2 or '')} END"),
+    }[kind]
+    body = f"string_agg({each}, '' ORDER BY i)"
+    value = f"ltrim({body}, {_sql(t.sep)})" if kind == "llama_2" else f"{_sql(head)} || {body}"
+    where = " HAVING max(CASE WHEN i = 0 THEN role END) = 'user'" if kind == "llama_2" else ""
+
+    @query(f"WITH t AS ({_TURNS}) SELECT conv_id, {value} AS prompt FROM t GROUP BY conv_id{where}", f"template_{kind}")
+    def run(spark, sf_dir):
+        rows = _dialogues(spark, sf_dir).select("conv_id", templates.prompt(templates.named_roles(F.col("messages"), t), t).alias("prompt"))
+        return rows.filter("prompt is not null")
+
+
+for _kind, _name in {"single": "v0", "two": "vicuna_v1", "mpt": "mpt", "gemma": "gemma", "plain": "plain", "llama_2": "llama_2"}.items():
+    _template(_kind, _name)
+
+
+# ---------------------------------------------------------------- token arrays
+@query("""
+    SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) END)::BIGINT AS masked,
+           sum(CASE WHEN role = 'assistant' THEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) ELSE 0 END)::BIGINT AS graded
+    FROM conversations WHERE role <> 'system' GROUP BY conv_id
+""")
+def label_mask_turns(spark, sf_dir):
+    rows = _dialogues(spark, sf_dir)
+    first = F.col("messages")[0]["role"] == "user"
+    ids = lambda m: F.transform(stats.words_of(m["text"]), lambda w: F.length(w))
+    nothing = F.array(F.array().cast("array<int>"))
+    turns = F.transform("messages", ids)
+    aligned = F.when(first, turns).otherwise(F.concat(nothing, turns))
+    made = packing.layout_dialogue(aligned, F.array().cast("array<int>"), -1, -2, 1 << 30)
+    graded = F.size(F.filter(made["labels"], lambda x: x != -100))
+    return rows.select("conv_id", (F.size(made["labels"]) - graded - 2).cast("long").alias("masked"), graded.cast("long").alias("graded"))
+
+
+@query("""
+    WITH c AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: (floor(abs(x) * 100))::INT) AS c FROM embeddings),
+         s AS (SELECT vec_id, flatten(list_transform(range(0, 4), lambda i: list_append(c[(i * 4 + 1):(i * 4 + 4)], -7))) AS s FROM c)
+    SELECT vec_id, array_to_string(s, ',') AS ids FROM s
+""")
+def separators_insert(spark, sf_dir):
+    codes = F.transform(F.slice("embedding", F.lit(1), F.lit(16)), lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", codes.alias("c"))
+    return rows.select("vec_id", F.array_join(F.transform(arrays.insert_separators(F.col("c"), 4, -7), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents)
+    SELECT doc_id, repeat('0', greatest(0, 6 - length((n % 9)::VARCHAR))::INT) || (n % 9)::VARCHAR AS padded, (n >= 200)::INT AS vision, greatest(0, least(8191, n - 300))::INT AS clamped FROM d
+""")
+def array_masks(spark, sf_dir):
+    n = F.size(stats.words_of(F.col("text")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
+    one = F.array(F.col("n"))
+    return rows.select(
+        "doc_id", text.pad_id(F.col("n") % 9).alias("padded"), arrays.is_vision(one, 200)[0].cast("int").alias("vision"), arrays.ids_code(one, 300)[0].alias("clamped"),
+    )
+
+
+# ---------------------------------------------------------------- packing
+_PACKS = """
+    n AS (SELECT (hash_shard) AS shard, doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, row_number() OVER (PARTITION BY hash_shard ORDER BY doc_id) AS r
+          FROM (SELECT *, (doc_id // 10000)::BIGINT AS hash_shard FROM documents)),
+    p AS (SELECT shard, doc_id, r, n, 0::BIGINT AS pack, 0::BIGINT AS "at", 1::BIGINT AS sequence, least(n, 512)::BIGINT AS keep FROM n WHERE r = 1
+          UNION ALL
+          SELECT n.shard, n.doc_id, n.r, n.n, CASE WHEN p."at" + p.n >= 512 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p."at" + p.n >= 512 THEN 0 ELSE p."at" + p.n END,
+                 CASE WHEN p."at" + p.n >= 512 THEN 1 ELSE p.sequence + 1 END, least(n.n, 512 - CASE WHEN p."at" + p.n >= 512 THEN 0 ELSE p."at" + p.n END)::BIGINT
+          FROM p JOIN n ON n.shard = p.shard AND n.r = p.r + 1)
+"""
+
+
+def _lengths(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10000).cast("long").alias("shard"), "doc_id", F.size(stats.words_of(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f'WITH RECURSIVE {_PACKS} SELECT shard, doc_id, pack, "at", sequence, keep FROM p')
+def pack_greedy(spark, sf_dir):
+    return packing.plan(_lengths(spark, sf_dir), "shard", "doc_id", "n", 512)
+
+
+@query(f"""
+    WITH RECURSIVE {_PACKS}
+    SELECT shard, pack, sequence, keep AS seg_len, (sum(keep) OVER (PARTITION BY shard, pack ORDER BY sequence))::BIGINT AS cu_seqlen, (max(keep) OVER (PARTITION BY shard, pack))::BIGINT AS max_len FROM p
+""")
+def segment_lengths(spark, sf_dir):
+    planned = packing.plan(_lengths(spark, sf_dir), "shard", "doc_id", "n", 512)
+    return packing.segment_lengths(planned, ["shard", "pack"], "sequence", "keep").select("shard", "pack", "sequence", "seg_len", "cu_seqlen", "max_len")
+
+
+@query(f"""
+    WITH RECURSIVE {_PACKS}
+    SELECT shard, pack, sum(keep)::INT AS tokens, max(keep)::INT AS max_length, md5(string_agg(left_words, '|' ORDER BY sequence)) AS content
+    FROM (SELECT p.*, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:p.keep], '|') AS left_words FROM p JOIN documents USING (doc_id)) WHERE keep > 0 GROUP BY shard, pack
+""")
+def packed_rows(spark, sf_dir):
+    planned = packing.plan(_lengths(spark, sf_dir), "shard", "doc_id", "n", 512)
+    words = read(spark, sf_dir, "documents").select("doc_id", stats.words_of(F.col("text")).alias("ids"))
+    made = packing.packed(planned.join(words, "doc_id").withColumn("labels", F.col("ids")), "shard")
+    return made.select("shard", "pack", F.size("ids").alias("tokens"), "max_length", F.md5(F.array_join("ids", "|")).alias("content"))
+
+
+# ---------------------------------------------------------------- prompts and answers
+_OPTIONS = "CASE WHEN p_size > 5 THEN p_brand END AS A, p_type AS B, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS C, CASE WHEN p_partkey % 4 <> 0 THEN 'size ' || p_size END AS D"
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    letter = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("What is "), "p_name", F.lit("?")).alias("question"), F.when(F.col("p_partkey") % 2 == 0, F.lit("hint")).alias("hint"), letter.alias("answer"),
+        F.when(F.col("p_size") > 5, F.col("p_brand")).alias("A"), F.col("p_type").alias("B"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("C"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("size "), "p_size")).alias("D"),
+    )
+
+
+_Q = f"q AS (SELECT p_partkey, 'What is ' || p_name || '?' AS question, CASE WHEN p_partkey % 2 = 0 THEN 'hint' END AS hint, ['A', 'B', 'C', 'D'][p_partkey % 4 + 1] AS answer, {_OPTIONS} FROM part)"
+
+
+@query(f"""
+    WITH {_Q} SELECT p_partkey, question || coalesce(' ' || hint, '') || chr(10) || concat_ws(chr(10), 'A. ' || A, 'B. ' || B, 'C. ' || C, 'D. ' || D) || chr(10) || 'Please answer with the letter of the correct option.' AS prompt FROM q
+""")
+def mc_prompt_build(spark, sf_dir):
+    rows = _questions(spark, sf_dir)
+    return rows.select("p_partkey", reshape.choice_prompt(F.col("question"), F.col("hint"), [F.col(x) for x in "ABCD"]).alias("prompt"))
+
+
+_ROT = f"{_Q}, r AS (SELECT p_partkey, s.shift::INT AS shift, answer, [A, B, C, D][((s.shift + 0) % 4) + 1] AS first, ['A', 'B', 'C', 'D'][(p_partkey % 4 - s.shift + 4) % 4 + 1] AS truth FROM q, (SELECT unnest(range(4)) AS shift) s WHERE len(list_filter([A, B, C, D], lambda x: x IS NOT NULL)) >= 2)"
+
+
+@query(f"WITH {_ROT} SELECT p_partkey, shift, first, truth FROM r")
+def circular_rotations(spark, sf_dir):
+    made = reshape.rotations(_questions(spark, sf_dir), list("ABCD"), "answer")
+    return made.select("p_partkey", "shift", F.col("shifted")[0].alias("first"), "truth")
+
+
+@query(f"WITH {_ROT} SELECT p_partkey, bool_and(truth = ['A', 'B', 'C', 'D'][(p_partkey * (1 + p_partkey % 2) - shift + 8) % 4 + 1]) AS passed FROM r GROUP BY p_partkey")
+def circular_passed(spark, sf_dir):
+    made = reshape.rotations(_questions(spark, sf_dir), list("ABCD"), "answer")
+    guess = F.element_at(F.array(*map(F.lit, "ABCD")), (F.pmod(F.col("p_partkey") * (1 + F.col("p_partkey") % 2) - F.col("shift") + 8, F.lit(4)) + 1).cast("int"))
+    return scoring.all_rotations(made.withColumn("correct", F.col("truth") == guess), "p_partkey", "correct")
+
+
+_PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~，。？！“”‘’｜、·～"
+_WORDS = f"string_split(translate(lower(trim(text, ' ' || chr(10) || chr(9) || chr(13))), '{_PUNCT}', repeat(' ', length('{_PUNCT}'))), ' ')"
+
+
+@query(f"""
+    SELECT conv_id, turn, CASE WHEN contains(text, '(yes)') OR contains(text, '[yes]') OR contains(text, '<yes>') OR contains(text, 'yes)') THEN 'yes'
+        WHEN contains(text, '(no)') OR contains(text, '[no]') OR contains(text, '<no>') OR contains(text, 'no)') THEN 'no'
+        WHEN list_has_any({_WORDS}, ['yes', '是']) AND NOT list_has_any({_WORDS}, ['no', '否', '不']) THEN 'yes' ELSE 'no' END AS answer
+    FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Yes, ' || text WHEN turn % 3 = 1 THEN text || ' (no)' ELSE text END AS text FROM conversations)
+""")
+def yes_no_normalize(spark, sf_dir):
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Yes, "), "text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" (no)"))).otherwise(F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.yes_no(said).alias("answer"))
+
+
+@query("""
+    SELECT item_id, CASE WHEN regexp_extract(text, '[A-Da-d]') = '' THEN 'unknown' ELSE upper(regexp_extract(text, '[A-Da-d]')) END AS answer FROM benchmark
+""")
+def mc_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", text.choice(F.col("text")).alias("answer"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN regexp_extract(text, '[A-D]') <> '' THEN regexp_extract(text, '[A-D]') WHEN contains(text, '是') THEN 'yes' WHEN contains(text, '否') OR contains(text, '不') THEN 'no' ELSE text END AS answer FROM documents WHERE trim(text) <> ''
+""")
+def server_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "documents").filter(F.trim("text") != "").select("doc_id", text.served_answer(F.col("text")).alias("answer"))
+
+
+@query("""
+    WITH r AS (SELECT lang, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS t, CASE WHEN n_chars > 1000 THEN 'yes' WHEN n_chars > 200 THEN 'no' ELSE 'error' END AS p FROM documents JOIN labels USING (doc_id)),
+         c AS (SELECT lang, count(*) AS n, count(*) FILTER (t = p)::DOUBLE AS ok, count(*) FILTER (t = 'yes' AND p = 'yes')::DOUBLE AS tp, count(*) FILTER (t <> 'yes' AND p = 'yes')::DOUBLE AS fp, count(*) FILTER (t = 'yes' AND p <> 'yes')::DOUBLE AS fn FROM r WHERE p IN ('yes', 'no') GROUP BY lang),
+         m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c)
+    SELECT lang, n, round(ok / n, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM m
+""")
+def binary_prf(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    said = F.when(F.col("n_chars") > 1000, "yes").when(F.col("n_chars") > 200, "no").otherwise("error")
+    made = scoring.binary_report(rows.select("lang", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("t"), said.alias("p")), "t", "p", ["lang"])
+    return made.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+_PAIRS = "p AS (SELECT doc_id, quality = 1 AS ok, coalesce((quality = 1) AND lead(quality = 1) OVER (ORDER BY doc_id), false) AS two_ok, doc_id % 5 AS category FROM labels)"
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN two_ok ELSE false END AS pair_correct FROM p")
+def pair_accuracy(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"))
+    return scoring.paired(rows, "doc_id", "ok").select("doc_id", "pair_correct")
+
+
+_CATS = f"{_PAIRS}, c AS (SELECT category, count(*) AS n, avg(ok::INT) AS acc, count(*) FILTER (doc_id % 2 = 0 AND two_ok) / (count(*) / 2.0) AS acc_plus FROM p GROUP BY category)"
+
+
+def _categories(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), (F.col("doc_id") % 5).alias("category"))
+    return scoring.category_scores(scoring.paired(rows, "doc_id", "ok"), "category", "ok", "pair_correct")
+
+
+@query(f"WITH {_CATS} SELECT category, n, round(acc, 6) AS acc, round(acc_plus, 6) AS acc_plus FROM c")
+def category_scores(spark, sf_dir):
+    return _categories(spark, sf_dir).select("category", "n", F.round("acc", 6).alias("acc"), F.round("acc_plus", 6).alias("acc_plus"))
+
+
+@query(f"WITH {_CATS} SELECT round(avg(acc), 6) AS acc, round(avg(acc_plus), 6) AS acc_plus FROM c")
+def category_macro(spark, sf_dir):
+    return scoring.macro(_categories(spark, sf_dir), ["acc", "acc_plus"]).select(F.round("acc", 6).alias("acc"), F.round("acc_plus", 6).alias("acc_plus"))
+
+
+@query(f"WITH {_CATS} SELECT round(100 * sum(acc + acc_plus), 4) AS perception FROM c WHERE category IN (1, 3)")
+def perception_score(spark, sf_dir):
+    named = _categories(spark, sf_dir).withColumn("category", F.col("category").cast("string"))
+    return scoring.perception(named, "category", ["1", "3"]).select(F.round("perception", 4).alias("perception"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey - 1)::VARCHAR WHEN o_orderkey % 7 = 0 THEN '-5' ELSE 'own' END AS ref, o_orderpriority AS v FROM orders)
+    SELECT a.k, coalesce(b.v, a.v) AS v FROM o a LEFT JOIN o b ON try_cast(a.ref AS BIGINT) = b.k WHERE try_cast(a.ref AS BIGINT) IS NULL OR b.k IS NOT NULL
+""")
+def self_reference_resolve(spark, sf_dir):
+    k = F.col("o_orderkey")
+    ref = F.when(k % 3 == 0, (k - 1).cast("string")).when(k % 7 == 0, "-5").otherwise("own")
+    rows = read(spark, sf_dir, "orders").select(k.alias("k"), ref.alias("ref"), F.col("o_orderpriority").alias("v"))
+    return enrich.resolve_references(rows, "k", "ref", "v").select("k", "v")
+
+
+@query("""
+    WITH RECURSIVE q AS (SELECT DISTINCT l_orderkey AS item, l_linenumber AS qid, ((l_orderkey * 7 + l_linenumber * 3) % 4 <> 0)::INT AS score FROM lineitem),
+         r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY qid) AS r FROM q),
+         g AS (SELECT item, qid, score, score::DOUBLE AS gated, r FROM r WHERE r = 1
+               UNION ALL SELECT r.item, r.qid, r.score, CASE WHEN g.gated = 0 THEN 0.0 ELSE r.score END, r.r FROM g JOIN r ON r.item = g.item AND r.r = g.r + 1)
+    SELECT item, count(*)::INT AS n, round(avg(score), 6) AS raw, round(avg(gated), 6) AS gated FROM g GROUP BY item
+""")
+def dependency_gate(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("qid")).distinct()
+    previous = F.coalesce(F.lag("qid").over(Window.partitionBy("item").orderBy("qid")), F.lit(0))
+    scored = rows.withColumns({"parents": F.array(previous), "score": ((F.col("item") * 7 + F.col("qid") * 3) % 4 != 0).cast("int")})
+    made = scoring.gate_scores(scored, "item", "qid", "parents", "score")
+    return made.select("item", "n", F.round("raw", 6).alias("raw"), F.round("gated", 6).alias("gated"))
+
+
+@query("SELECT p_type AS first, p_brand AS second, round(avg(p_size), 6) AS score, count(*) AS n, grouping(p_type, p_brand)::BIGINT AS level FROM part GROUP BY ROLLUP (p_type, p_brand)")
+def category_rollup(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_type").alias("first"), F.col("p_brand").alias("second"), "p_size")
+    return scoring.category_rollup(rows, "first", "second", "p_size").withColumn("score", F.round("score", 6)).withColumn("level", F.col("level").cast("long"))
+
+
+@query("""
+    WITH a AS (SELECT l_suppkey, l_partkey % 10 AS g, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, avg(v) AS v FROM a GROUP BY ALL)
+    SELECT round(avg(v), 6) AS v FROM b
+""")
+def nested_mean(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 10).alias("g"), F.col("l_quantity").cast("double").alias("v"))
+    return scoring.nested_mean(rows, ["l_suppkey", "g"], "v").select(F.round("v", 6).alias("v"))
+
+
+# ---------------------------------------------------------------- averages, similarities, codebooks
+@query("""
+    WITH e AS (SELECT event_type AS g, user_id % 4 AS c, user_id % 6 AS y, event_id % 100 AS v FROM events)
+    SELECT g, c, y, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, grouping(g, c, y)::BIGINT AS level FROM e GROUP BY GROUPING SETS ((g, y), (c, y), (y), (c, g))
+""")
+def multi_level_average(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("g"), (F.col("user_id") % 4).alias("c"), (F.col("user_id") % 6).alias("y"), (F.col("event_id") % 100).alias("v"))
+    made = vectors.level_averages(rows, "g", "c", "y", "v")
+    # grouping ids count the columns in the order of the grouping sets' own list
+    return made.select("g", "c", "y", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.col("level").cast("long").alias("level"))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0)")
+def group_intersection(spark, sf_dir):
+    ours = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    theirs = read(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("c_nationkey"))
+    return vectors.in_both(ours, theirs, ["c_nationkey"]).select("c_custkey", "c_nationkey")
+
+
+_BOOK = "b AS (SELECT vec_id AS code_id, embedding::DOUBLE[] AS code_vec FROM embeddings WHERE vec_id % 20 = 0)"
+_NEAR = f"{_BOOK}, d AS (SELECT vec_id, code_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], code_vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings, b), n AS (SELECT vec_id, arg_min(code_id, (d, code_id)) AS code_id, min(d) AS d FROM d GROUP BY vec_id)"
+
+
+def _codebook(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rows, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("code_id"), F.col("embedding").alias("code_vec"))
+
+
+@query(f"WITH {_NEAR} SELECT vec_id, code_id, round(d, 6) AS code_dist FROM n")
+def nearest_code(spark, sf_dir):
+    rows, book = _codebook(spark, sf_dir)
+    return vectors.nearest_code(rows, "embedding", book).select("vec_id", "code_id", F.round("code_dist", 6).alias("code_dist"))
+
+
+@query(f"WITH {_NEAR} SELECT vec_id, n.code_id, round(list_sum(code_vec), 6) AS total FROM n JOIN b ON n.code_id = b.code_id")
+def code_gather(spark, sf_dir):
+    rows, book = _codebook(spark, sf_dir)
+    made = vectors.gather_codes(vectors.nearest_code(rows, "embedding", book).select("vec_id", "code_id"), "code_id", book)
+    return made.select("vec_id", "code_id", F.round(F.aggregate("code_vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT vec_id, CASE WHEN label < 6 THEN label * 10 ELSE -1 END::BIGINT AS new_id FROM embeddings")
+def remap_ids(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    used = spark.range(6).select(F.col("id").alias("code_id"), (F.col("id") * 10).alias("new_id"))
+    return vectors.remap(rows, "label", used, -1).select("vec_id", "new_id")
+
+
+@query("SELECT vec_id, CASE WHEN label < 6 THEN label + 100 ELSE 100 END::BIGINT AS code_id FROM embeddings")
+def unmap_ids(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    used = spark.range(6).select((F.col("id") + 100).alias("code_id"), F.col("id").alias("new_id"))
+    return vectors.unmap(rows, "label", used).select("vec_id", "code_id")
+
+
+@query("""
+    WITH p AS (SELECT a.vec_id, a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, round(raw, 6) AS raw, round(raw - label / 100.0, 6) AS adjusted FROM p
+""")
+def cosine_adjusted(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("a"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    base = rows.select("label").distinct().withColumn("base", F.col("label") / 100.0)
+    return vectors.adjusted_similarity(rows.join(after, "vec_id"), base, "label", "a", "b").select("vec_id", F.round("raw", 6).alias("raw"), F.round("adjusted", 6).alias("adjusted"))
+
+
+@query("""
+    WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS pos FROM embeddings)
+    SELECT label, pos::INT AS pos, round(avg(v), 6) AS value FROM x GROUP BY ALL
+""")
+def mean_vectors(spark, sf_dir):
+    made = vectors.mean_vector(read(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return made.select("label", F.posexplode("mean_vec").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("WITH e AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS r FROM e) SELECT event_type, user_id, n FROM r WHERE r <= 5")
+def topk_ties(spark, sf_dir):
+    counts = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.top_k_with_ties(counts, ["event_type"], "n", 5)
+
+
+@query("""
+    WITH e AS (SELECT event_type, user_id % 20 AS u, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY event_type) AS p FROM e),
+         c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY n DESC, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY event_type) AS before FROM p)
+    SELECT event_type, u, n FROM c WHERE before <= 0.5017
+""")
+def topp_nucleus(spark, sf_dir):
+    counts = read(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 20).alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("event_type").agg(F.sum("n").alias("t"))
+    rows = counts.join(total, "event_type").withColumn("p", F.col("n") / F.col("t"))
+    return sampling.nucleus(rows, ["event_type"], "p", ["u"], 0.5017).select("event_type", "u", "n")
+
+
+@query("""
+    WITH e AS (SELECT event_type, (user_id % 20) / 4.0 AS x, user_id % 20 AS u FROM events GROUP BY ALL), m AS (SELECT *, exp(x / 2 - max(x / 2) OVER (PARTITION BY event_type)) AS e FROM e)
+    SELECT event_type, u, round(e / sum(e) OVER (PARTITION BY event_type), 6) AS p FROM m
+""")
+def softmax_temperature(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 20).alias("u")).distinct().withColumn("x", F.col("u") / 4.0)
+    return sampling.softmax(rows, ["event_type"], "x", 2.0).select("event_type", "u", F.round("p", 6).alias("p"))
+
+
+@query("""
+    SELECT a.conv_id, count(*) AS n_pairs FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn AND a.role = b.role WHERE a.text <> '' AND b.text <> '' GROUP BY a.conv_id
+""")
+def attention_pairs_count(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").withColumn("real", F.col("text") != "")
+    return vectors.visible_pairs(rows, "conv_id", "turn", "role", "real")
+
+
+# ---------------------------------------------------------------- requests, text functions, write-back
+@query("""
+    SELECT page_id, repeat('<|vision_start|><img><|vision_end|>' || chr(10), (page_id % 3)::INT) || replace(replace(left(html, 200), '<img>', ''), '<image>', '') || ' end' AS prompt, (page_id % 3)::INT AS n_images, md5(url) AS url_md5 FROM pages
+""")
+def request_flatten(spark, sf_dir):
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("image_url"))
+    none = F.lit(None).cast("string")
+    image = part("image_url", none, F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("url", "UTF-8"))))
+    said = F.concat(F.array(part("text", F.left("html", F.lit(200)), none)), F.array_repeat(image, (F.col("page_id") % 3).cast("int")))
+    rows = read(spark, sf_dir, "pages").withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))))
+    made = reshape.flatten_request(rows, suffix=" end")
+    return made.select("page_id", "prompt", F.size("images").alias("n_images"), F.md5("url").alias("url_md5"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT regexp_extract(source, '^([A-Za-z]+)', 1) AS origin, count(*) AS n FROM documents GROUP BY 1")
+def prompt_origin_counts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy(text.origin(F.col("source")).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH p AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '/a/run_zh/20250101_1200/checkpoint-' || s_suppkey WHEN 1 THEN '/a/run/20250101_1200' ELSE '/models/base' || s_suppkey END AS path FROM supplier)
+    SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'run_zh_20250101_1200' WHEN 1 THEN 'run_20250101_1200' ELSE 'base' || s_suppkey END AS run, CASE WHEN s_suppkey % 3 = 0 THEN 'checkpoint-' || s_suppkey END AS checkpoint, CASE WHEN contains(path, 'zh') THEN 'zh' ELSE 'en' END AS lang FROM p
+""")
+def path_parse(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    path = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("/a/run_zh/20250101_1200/checkpoint-"), k)).when(F.col("s_suppkey") % 3 == 1, "/a/run/20250101_1200").otherwise(F.concat(F.lit("/models/base"), k))
+    run, check = text.run_and_checkpoint(path)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", run.alias("run"), check.alias("checkpoint"), text.language_of_path(path).alias("lang"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%Y%m%d_%H%M') AS minute, strftime(o_orderdate::TIMESTAMP, '%y%m%d-%H%M%S') AS log FROM orders")
+def dt_format(spark, sf_dir):
+    day = F.col("o_orderdate").cast("timestamp")
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.stamp(day).alias("minute"), text.stamp(day, "log").alias("log"))
+
+
+@query("""
+    WITH u AS (SELECT p_partkey, c, v FROM (SELECT p_partkey, p_name, p_brand, p_type FROM part) UNPIVOT (v FOR c IN (p_name, p_brand, p_type)))
+    SELECT lpad(p_partkey::VARCHAR, greatest(6, length(p_partkey::VARCHAR))::INT, '0') || '_' || c AS custom_id, p_partkey, c AS "column", v AS value FROM u WHERE v <> ''
+""")
+def unpivot_ids(spark, sf_dir):
+    return reshape.wide_to_long(read(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS p_brand FROM part")
+def unpivot_ids_writeback(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    long = reshape.wide_to_long(rows, "p_partkey", ["p_name", "p_brand"])
+    done = long.filter("(column = 'p_name' and p_partkey % 2 = 0) or (column = 'p_brand' and p_partkey % 5 = 0)").select("custom_id", F.when(F.col("column") == "p_name", F.upper("value")).otherwise("").alias("value"))
+    return enrich.write_back(rows, "p_partkey", ["p_name", "p_brand"], done)
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS r, count(*) OVER () AS n FROM lineitem)
+    SELECT 'requests_part_' || (r // 5000 + 1) || '.jsonl' AS file, count(*) AS n FROM r GROUP BY ALL
+""")
+def chunk_files(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    made = writers.chunk_names(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 5000)
+    return made.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(spark, sf_dir):
+    return enrich.remaining(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT c.c_custkey, coalesce(max(o.o_orderpriority), 'none') AS answer FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+def correlate_results(spark, sf_dir):
+    results = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("answer"))
+    return enrich.correlate(read(spark, sf_dir, "customer").select("c_custkey"), results, "c_custkey", "answer", "none")
+
+
+@query("SELECT doc_id, 'x' || reverse(lang) AS lang FROM documents")
+def enrich_text(spark, sf_dir):
+    made = enrich.enrich(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", lambda t: ("x" + t[::-1], {"total_tokens": len(t)}))
+    return made.select("doc_id", "lang")
+
+
+@query("""
+    WITH r AS (SELECT event_id, event_type AS k, lag(event_type) OVER (ORDER BY event_id) AS b FROM events), s AS (SELECT k, max(event_id) AS f FROM r WHERE b IS NULL OR b <> k GROUP BY k)
+    SELECT event_id, r.k AS event_type FROM r JOIN s ON r.k = s.k WHERE event_id >= f
+""")
+def last_runs(spark, sf_dir):
+    return scoring.last_runs(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type").select("event_id", "event_type")
+
+
+@query("SELECT n_nationkey, n_name || '_' || r.i AS name FROM nation, (SELECT unnest(range(3)) AS i) r")
+def repeated_prompts(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    return reshape.repeated(rows, 3, "name").select("n_nationkey", "name")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 50) || '...' || right(text, 50) END AS shown, regexp_replace(source || '_0', '_[^_]*$', '') AS base FROM documents
+""")
+def text_display(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.middle_cut(F.col("text"), 100).alias("shown"), text.base_key(F.concat("source", F.lit("_0"))).alias("base"))
+
+
+@query("SELECT (event_id // 1000)::BIGINT AS batch, event_type, count(*) AS n FROM events GROUP BY ALL")
+def microbatch_requests(spark, sf_dir):
+    rows = sampling.batches(read(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], 1000)
+    first = read(spark, sf_dir, "events").agg(F.min("event_id").alias("first"))
+    return rows.join(F.broadcast(first)).groupBy(F.floor(F.col("event_id") / 1000).alias("batch"), "event_type").agg(F.count(F.lit(1)).alias("n"))
