@@ -206,7 +206,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (share of letters in spans of that language).
+    """``docs`` with lang_pred and score (share of letters in spans of that language), in place of columns so named.
 
     Null texts and texts without a letter: ``und`` and 0, as are all texts if nothing could be learned. Null and
     repeated ids stay as they are; an empty table gives an empty result.
@@ -220,7 +220,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             langs, shares = predict(shared.value, texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": shares})
 
-    return docs.withColumn("_lang", run(F.col(text_col))).select("*", F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score")).drop("_lang")
+    found = docs.withColumn("__language", run(F.col(text_col)))
+    return found.withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language")
 
 
 def held_out(id_col: str, parts: int, part: int):

@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score (probability of label 1) and predicted (1 if score >= threshold).
+    """``docs`` with score (probability of label 1) and predicted (1 if score >= threshold), in place of columns so named.
 
     Null text is scored as the empty text; ids play no part. An empty table gives an empty result. If there was
     nothing to learn from, every score is the smoothed share of label 1.

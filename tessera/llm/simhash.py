@@ -102,7 +102,9 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, and rows without any id in theirs."""
+    """The rows of ``df`` whose id is the smallest of their component, and rows without any id in theirs.
+
+    Rows are told apart by their ids: a repeated id stays with all its rows if it is the smallest of a component."""
     groups = simhash_groups(df, id_col, text_col)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
