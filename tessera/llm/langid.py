@@ -220,7 +220,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             langs, shares = predict(shared.value, texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": shares})
 
-    found = docs.withColumn("__language", run(F.col(text_col)))
+    # nondeterministic: so that a filter on the result isn't pushed below it and doesn't run it twice
+    found = docs.withColumn("__language", run.asNondeterministic()(F.col(text_col)))
     return found.withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language")
 
 

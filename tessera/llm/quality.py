@@ -206,4 +206,5 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
         for texts in batches:
             yield pd.Series(shared.value.score(matrix(texts.tolist())), dtype=float)
 
-    return docs.withColumn("score", run(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    # nondeterministic: so that a filter on the result isn't pushed below it and doesn't run it twice
+    return docs.withColumn("score", run.asNondeterministic()(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
