@@ -106,5 +106,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows are told apart by their ids: a repeated id stays with all its rows if it is the smallest of a component."""
     groups = simhash_groups(df, id_col, text_col)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    # the few ids that go: Spark sends them out if they are under its broadcast threshold, and else moves the texts
+    gone = table(groups.groupBy(F.col(id_col).alias("__gone_id")).agg(F.bool_or(stays).alias("__stays")).filter("not __stays").select("__gone_id"))
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left_anti")
