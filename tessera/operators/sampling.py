@@ -123,3 +123,35 @@ def sampled_choice(df: DataFrame, by: list[str], p: str, order: list[str], seed:
     drawn = unit_hash(*by, seed=seed)
     rows = df.withColumn("_cdf", F.sum(p).over(up_to)).filter(F.col("_cdf") > drawn * F.lit(1 - 1e-9))
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_cdf", *order))).filter("_at = 1").drop("_at", "_cdf")
+
+
+def layer_range(df: DataFrame, layer: str, total: int, first: int, last: int) -> DataFrame:
+    """Layers without the first and the last few."""
+    return df.filter((F.col(layer) >= first) & (F.col(layer) < total - last))
+
+
+def named_any(df: DataFrame, name: str, keywords: list[str]) -> DataFrame:
+    """Rows whose name holds one of the keywords."""
+    found = F.lit(False)
+    for k in keywords:
+        found = found | F.col(name).contains(k)
+    return df.filter(found)
+
+
+def consistent_groups(df: DataFrame, order: list[str], size: int, key: str) -> DataFrame:
+    """Runs of ``size`` rows along a unique order, as (group, key, n); a run of several keys is an error."""
+    runs = ordinal(df, order, "_ordinal").groupBy(F.floor(F.col("_ordinal") / size).alias("group"))
+    found = runs.agg(F.min(key).alias(key), F.max(key).alias("_last"), F.count(F.lit(1)).alias("n"))
+    return found.withColumn(key, F.when(F.col(key) == F.col("_last"), F.col(key)).otherwise(F.raise_error(F.lit("a group has several keys")).cast(df.schema[key].dataType))).drop("_last")
+
+
+def allowed_scores(scores: Column, allowed: list[int]) -> Column:
+    """Scores of a small vocabulary, those of ids that aren't allowed being minus infinity."""
+    ids = F.array(*map(F.lit, allowed))
+    return F.transform(scores, lambda x, i: F.when(F.array_contains(ids, i), x.cast("double")).otherwise(F.lit(float("-inf"))))
+
+
+def forced_separator(scores: Column, position: Column, every: int, separator: int) -> Column:
+    """After each run of ``every`` ids only the separator may follow, elsewhere it may not."""
+    due = F.pmod(position, F.lit(every + 1)) == every
+    return F.transform(scores, lambda x, i: F.when(due == (i == separator), x.cast("double")).otherwise(F.lit(float("-inf"))))

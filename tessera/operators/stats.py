@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.store import ordinal
@@ -56,3 +56,14 @@ def modality_totals(df: DataFrame, tokens: Column, vision: Column, by: list[str]
 
 def usage_totals(df: DataFrame, usage: str, keys: list[str]) -> DataFrame:
     return df.agg(*[F.sum(F.coalesce(F.col(usage)[k], F.lit(0))).alias(k) for k in keys])
+
+
+def running_totals(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Sums of columns up to and with each row of its group."""
+    up_to = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"{c}_so_far": F.sum(c).over(up_to) for c in columns})
+
+
+def summary_json(df: DataFrame, columns: list[str], to: str = "summary") -> DataFrame:
+    """Each row's columns as one JSON object."""
+    return df.select(F.to_json(F.struct(*columns)).alias(to))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, geometry, text
 from tessera.operators import enrich, packing, reshape, sampling, scoring, stats, templates, vectors
+from tessera.plans.store import spread
 from tessera.schemas import PAIR_SPLIT, TURN_SPLIT
 from tessera.sources import writers
 
@@ -45,7 +46,7 @@ def _entropy(n: int):
 
     @query(sql, f"ngram_entropy_n{n}_by_lang")
     def run(spark, sf_dir):
-        docs = read(spark, sf_dir, "documents").select("lang", stats.words_of(F.col("text")).alias("w"))
+        docs = spread(read(spark, sf_dir, "documents").select("lang", "text")).select("lang", stats.words_of(F.col("text")).alias("w"))
         return stats.conditional_entropy(docs, "w", n, ["lang"]).select("lang", "n_grams", F.round("h", 6).alias("h"))
 
 
@@ -71,7 +72,7 @@ def ngram_entropy_cross_document(spark, sf_dir):
     SELECT gram, count(*) AS c FROM g GROUP BY gram ORDER BY c DESC, gram LIMIT 50
 """)
 def ngram_topk(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(stats.words_of(F.col("text")).alias("w"))
+    docs = spread(read(spark, sf_dir, "documents").select("text")).select(stats.words_of(F.col("text")).alias("w"))
     return stats.ngram_counts(docs, "w", 2, []).select(F.array_join("gram", " ").alias("gram"), "c").orderBy(F.desc("c"), "gram").limit(50)
 
 
@@ -82,7 +83,7 @@ def ngram_topk(spark, sf_dir):
 """)
 def token_modality_stats(spark, sf_dir):
     words = stats.words_of(F.col("text"))
-    docs = read(spark, sf_dir, "documents").select("source", F.size(words).alias("t"), F.size(F.filter(words, lambda w: F.length(w) >= 8)).alias("v"))
+    docs = spread(read(spark, sf_dir, "documents").select("source", "text")).select("source", F.size(words).alias("t"), F.size(F.filter(words, lambda w: F.length(w) >= 8)).alias("v"))
     return stats.modality_totals(docs, F.col("t"), F.col("v"), ["source"]).withColumn("vision_share", F.round("vision_share", 6))
 
 
@@ -683,3 +684,83 @@ def microbatch_requests(spark, sf_dir):
     rows = sampling.batches(read(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], 1000)
     first = read(spark, sf_dir, "events").agg(F.min("event_id").alias("first"))
     return rows.join(F.broadcast(first)).groupBy(F.floor(F.col("event_id") / 1000).alias("batch"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- further operators
+@query("SELECT event_id, event_type, (sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS user_id_so_far FROM events")
+def running_totals(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    return stats.running_totals(rows, ["event_type"], ["event_id"], ["user_id"]).select("event_id", "event_type", "user_id_so_far")
+
+
+@query("SELECT sum(p_size)::BIGINT AS total_tokens, sum(CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE 0 END)::BIGINT AS prompt_tokens FROM part")
+def usage_totals(spark, sf_dir):
+    usage = F.struct(F.col("p_size").cast("long").alias("total_tokens"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")).cast("long").alias("prompt_tokens"))
+    return stats.usage_totals(read(spark, sf_dir, "part").select(usage.alias("usage")), "usage", ["total_tokens", "prompt_tokens"])
+
+
+@query("""SELECT '{"p_type":"' || p_type || '","n":' || count(*) || '}' AS summary FROM part GROUP BY p_type""")
+def summary_json(spark, sf_dir):
+    return stats.summary_json(read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), ["p_type", "n"])
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50")
+def first_rows(spark, sf_dir):
+    return sampling.first_rows(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 50)
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) SELECT o_orderkey FROM r WHERE r % 100 = 0")
+def logged_rows(spark, sf_dir):
+    return sampling.every_kth(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 100)
+
+
+@query("SELECT p_partkey, p_size AS layer FROM part WHERE p_size >= 5 AND p_size < 50 - 10 AND (contains(p_brand, '1') OR contains(p_brand, '3'))")
+def layer_filters(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").withColumn("layer", F.col("p_size"))
+    return sampling.named_any(sampling.layer_range(rows, "layer", 50, 5, 10), "p_brand", ["1", "3"]).select("p_partkey", "layer")
+
+
+@query(f"""
+    WITH t AS ({_TURNS}) SELECT a.conv_id, (a.i // 2)::INT AS pair, a.text AS asked, b.text AS answered FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.i = a.i + 1 WHERE a.i % 2 = 0
+""")
+def chat_pairs(spark, sf_dir):
+    rows = _dialogues(spark, sf_dir).select("conv_id", F.posexplode(templates.chat_pairs(F.col("messages"))).alias("pair", "p"))
+    return rows.select("conv_id", "pair", "p.asked", "p.answered")
+
+
+@query("""SELECT '{"custom_id":"' || s_suppkey || '","method":"POST","url":"/v1/chat/completions","body":{"model":"m","messages":[{"role":"user","content":"' || s_name || '"}],"max_tokens":2048}}' AS request FROM supplier""")
+def batch_request_json(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select(reshape.batch_request(F.col("s_suppkey").cast("string"), F.col("s_name"), "m").alias("request"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN user_id * 10 ELSE -user_id END::BIGINT AS x FROM events")
+def routed_merge(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("x"), (F.col("user_id") % 2 == 0).alias("m"))
+    return vectors.routed(rows, "m", lambda d: d.withColumn("x", F.col("x") * 10), lambda d: d.withColumn("x", -F.col("x"))).select("event_id", "x")
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE + (embedding[2]::DOUBLE - embedding[1]::DOUBLE) * 4, 5) AS guided, CASE WHEN vec_id % 5 = 4 THEN 3 ELSE 0 END AS allowed FROM embeddings")
+def guided_scores(spark, sf_dir):
+    at = lambda i: F.array(F.col("embedding")[i].cast("double"))
+    forced = sampling.forced_separator(F.array(*[F.lit(1.0)] * 4), F.col("vec_id"), 4, 3)
+    first = (F.array_position(F.transform(forced, lambda x: (x > 0).cast("int")), 1) - 1).cast("int")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(arrays.guided(at(1), at(0), 4.0)[0], 5).alias("guided"), first.alias("allowed"))
+
+
+@query("SELECT (n_nationkey // 5)::BIGINT AS \"group\", min(n_nationkey // 5)::BIGINT AS k, count(*) AS n FROM nation GROUP BY n_nationkey // 5")
+def consistent_groups(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.floor(F.col("n_nationkey") / 5).alias("k"))
+    return sampling.consistent_groups(rows, ["n_nationkey"], 5, "k")
+
+
+@query("SELECT conv_id, left(string_agg(text, ' ' ORDER BY turn), 40) AS opening, count(*)::INT AS messages FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def dialogue_export(spark, sf_dir):
+    messages = F.col("messages")
+    back = F.from_json(templates.exported(messages, templates.template("v1")), "struct<messages:array<struct<role:string,text:string>>>")["messages"]
+    return _dialogues(spark, sf_dir).select("conv_id", F.left(F.array_join(F.transform(back, lambda m: m["text"]), " "), F.lit(40)).alias("opening"), F.size(back).alias("messages"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("window.start").alias("start"), "event_type", "n")

@@ -32,6 +32,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain file scan dealt out to all cores if its files give it fewer partitions than there are cores, as a table
+    of one file does; scans of many files stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ordinal(df: DataFrame, order: list[str | Column], to: str = "ordinal", start: int = 0) -> DataFrame:
     """Adds each row's global position along ``order`` (a unique key), without a single task that sees all rows.
 
