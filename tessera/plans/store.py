@@ -25,7 +25,16 @@ def table(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: the lineage ends here, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    found = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``table`` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
