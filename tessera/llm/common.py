@@ -7,39 +7,16 @@ tables go to the folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: At most so many keys can each hold this share of all rows, so a table of such keys may be broadcast.
-HEAVY_KEYS = 2000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session runs on one machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext.getCheckpointDir()
-    return found
+from tessera.plans.store import discard, partitions, shared_dir, spread, table
 
+__all__ = ["attach", "components", "discard", "partitions", "ranked", "read", "shared_dir", "small_batches", "spread", "table"]
 
-def table(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: the lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return spark.read.schema(schema).parquet(path)
+#: At most so many keys can each hold this share of all rows, so a table of such keys may be broadcast.
+HEAVY_KEYS = 2000
 
 
 #: Of texts on their way to Python at once. Texts can be long, so bytes count too; a session's lower setting stays.
@@ -54,10 +31,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` to the one row that ``groups`` has for each ``key`` (never null), however skewed.
 
@@ -108,9 +81,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
         large = attach(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = table(large.distinct())
+        discard(edges, least)
         least = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-        moved = attach(large.filter("true"), least, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = attach(large, least, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = table(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(large, least)
         tops = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         if tops.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, packing, quality, secrets, sentencepieces, sharding, simhash, vectors, warc
-from .common import read
+from .common import read, spread
 
 
 def tokenizer(name: str) -> str:
@@ -23,19 +23,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = read(spark, sf_dir, "documents").select("doc_id", "text"), langid.held_out("doc_id", 5, 0)
+    docs, held = spread(read(spark, sf_dir, "documents").select("doc_id", "text")), langid.held_out("doc_id", 5, 0)
     model = quality.fit(docs, read(spark, sf_dir, "labels"), learn="crc32(cast(doc_id as string)) % 5 <> 0")
     return quality.classify(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+    return secrets.find_secrets(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs, learn="crc32(cast(doc_id as string)) % 4 <> 2")
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    return langid.identify(spread(docs.select("doc_id", "text")), model).select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode_decode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return sentencepieces.encode_decode(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +55,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(read(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
