@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, langid, packing, secrets, simhash
-from tessera.llm.common import read, table
+from tessera.llm.common import read, spread, table
 from tessera.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select(*COLUMNS))
     for _, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
