@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import picked, unit_hash
-from tessera.plans.store import ordinal
+from tessera.plans.store import ordinal, running
 from tessera.schemas import MISSING, UNCONDITIONAL
 
 
@@ -99,14 +99,15 @@ def every_kth(df: DataFrame, order: list[str], k: int) -> DataFrame:
 
 
 def top_k_with_ties(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
-    """Rows whose value is at least the k-th largest of their group."""
+    """Rows whose value is at least the k-th largest of their group. Spark limits each task's rows of a group by rank
+    before it shuffles them, so only ties weigh."""
     return df.withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(value)))).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def nucleus(df: DataFrame, by: list[str], p: str, order: list[str], most: float) -> DataFrame:
     """Rows by falling probability until their sum has passed ``most``; the row that passes it stays."""
-    before = Window.partitionBy(*by).orderBy(F.desc(p), *order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_before", F.coalesce(F.sum(p).over(before), F.lit(0.0))).filter(F.col("_before") <= most).drop("_before")
+    summed = running(df, by, [F.desc(p), *order], {"_before": p}, itself=False)
+    return summed.filter(F.coalesce("_before", F.lit(0.0)) <= most).drop("_before")
 
 
 def softmax(df: DataFrame, by: list[str], x: str, temperature: float = 1.0, to: str = "p") -> DataFrame:
@@ -119,9 +120,8 @@ def softmax(df: DataFrame, by: list[str], x: str, temperature: float = 1.0, to:
 
 def sampled_choice(df: DataFrame, by: list[str], p: str, order: list[str], seed: int = 4) -> DataFrame:
     """One row of each group, drawn with its probability by the group's hash."""
-    up_to = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     drawn = unit_hash(*by, seed=seed)
-    rows = df.withColumn("_cdf", F.sum(p).over(up_to)).filter(F.col("_cdf") > drawn * F.lit(1 - 1e-9))
+    rows = running(df, by, order, {"_cdf": p}).filter(F.col("_cdf") > drawn * F.lit(1 - 1e-9))
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_cdf", *order))).filter("_at = 1").drop("_at", "_cdf")
 
 

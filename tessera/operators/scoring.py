@@ -62,8 +62,9 @@ def all_rotations(df: DataFrame, key: str, correct: str) -> DataFrame:
 def gated(questions: Column) -> Column:
     """Of an array of (qid, parents, score) in file order: [(qid, score)], a score being 0 once a parent's is.
 
-    Only parents that stand before the child gate it, with their gated score; parent 0 is the root. Null if a
-    question has a parent that isn't among the questions.
+    A parent gates with the score that it has when the walk comes to the child: its gated score if it stands before
+    the child, its own if it stands after. Parent 0 is the root. Null if a question has a parent that isn't among
+    the questions.
     """
     known = F.transform(questions, lambda q: q["qid"])
     whole = F.forall(questions, lambda q: F.forall(q["parents"], lambda p: (p == 0) | F.array_contains(known, p)))
@@ -77,9 +78,10 @@ def gated(questions: Column) -> Column:
     return F.when(whole, F.aggregate(questions, start, step))
 
 
-def gate_scores(df: DataFrame, item: str, qid: str, parents: str, score: str) -> DataFrame:
-    """(item, n, raw, gated): means of question scores before and after gating. An item's questions are few."""
-    each = F.array_sort(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(parents).alias("parents"), F.col(score).alias("score"))))
+def gate_scores(df: DataFrame, item: str, qid: str, parents: str, score: str, order: str | None = None) -> DataFrame:
+    """(item, n, raw, gated): means of question scores before and after gating, along ``order`` (by default qid). An
+    item's questions are few."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(order or qid).alias("order"), F.col(qid).alias("qid"), F.col(parents).alias("parents"), F.col(score).alias("score"))))
     rows = df.groupBy(item).agg(each.alias("_q")).withColumn("_g", gated(F.col("_q")))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, q: s + q["score"].cast("double")) / F.size(a)
     return rows.filter("_g is not null").select(item, F.size("_q").alias("n"), mean(F.col("_q")).alias("raw"), mean(F.col("_g")).alias("gated"))

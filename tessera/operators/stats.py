@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.store import ordinal
+from tessera.plans.store import ordinal, running
 
 
 def words_of(text: Column) -> Column:
@@ -59,9 +59,8 @@ def usage_totals(df: DataFrame, usage: str, keys: list[str]) -> DataFrame:
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Sums of columns up to and with each row of its group."""
-    up_to = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"{c}_so_far": F.sum(c).over(up_to) for c in columns})
+    """Sums of columns up to and with each row of its group, along an order that is unique in the group."""
+    return running(df, by, order, {f"{c}_so_far": c for c in columns})
 
 
 def summary_json(df: DataFrame, columns: list[str], to: str = "summary") -> DataFrame:

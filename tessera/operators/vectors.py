@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import cosine
+from tessera.plans.store import ordinal
 
 #: Entries that a codebook may have to be sent to every task.
 CODEBOOK = 1 << 16
@@ -84,7 +85,14 @@ def in_both(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lead_over(df: DataFrame, by: list[str], order: list[str], column: str, to: str, k: int = 1) -> DataFrame:
-    return df.withColumn(to, F.lead(column, k).over(Window.partitionBy(*by).orderBy(*order)))
+    """Adds the column's value k rows later in the group, null past its end. Rows are matched by their place in the
+    table's order by (by, order), which is unique, so a group of any size is spread."""
+    placed = ordinal(df, [*by, *order], "_at")
+    later = placed.select((F.col("_at") - k).alias("_ahead"), *[F.col(b).alias(f"_by_{b}") for b in by], F.col(column).alias("_later"))
+    same = F.col("_at") == F.col("_ahead")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return placed.join(later, same, "left").select(*[F.col(c) for c in df.columns if c != to], F.col("_later").alias(to))
 
 
 def visible_pairs(df: DataFrame, sequence: str, position: str, modality: str, real: str) -> DataFrame:

@@ -60,3 +60,26 @@ def ordinal(df: DataFrame, order: list[str | Column], to: str = "ordinal", start
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_in_range", here).join(F.broadcast(offsets), "_range").withColumn(to, (F.col("_in_range") + F.col("_before") - 1 + start).cast("long")).drop("_in_range", "_before", "_range")
+
+
+def running(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], itself: bool = True) -> DataFrame:
+    """Adds sums (name: column) over the rows of each group before a row, and with ``itself`` over the row too, along an
+    order that is unique in a group. Nulls are left out of sums; a sum over nothing is null; null is a group like others.
+
+    A group may hold any share of the rows: rows are dealt out by sampled ranges of (by, order) and written once, and a
+    range that goes on with the group of the range before it adds that group's sums so far. There are fewer of these
+    offsets than ranges, so they are broadcast.
+    """
+    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *by, *order).withColumn("_range", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_all_{to}") for to, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    carried = parts.withColumns({f"_before_{to}": F.sum(f"_all_{to}").over(before) for to in sums} | {"_earlier": F.count(F.lit(1)).over(before)})
+    offsets = carried.filter("_earlier > 0").select(F.col("_range").alias("_to"), *[F.col(b).alias(f"_by_{b}") for b in by], *[f"_before_{to}" for to in sums])
+    here = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    same = F.col("_range") == F.col("_to")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    rows = dealt.withColumns({f"_here_{to}": F.sum(c).over(here) for to, c in sums.items()}).join(F.broadcast(offsets), same, "left")
+    total = lambda to: F.coalesce(F.col(f"_here_{to}") + F.col(f"_before_{to}"), F.col(f"_here_{to}"), F.col(f"_before_{to}"))
+    own = [F.col(c) for c in df.columns if c not in sums]
+    return rows.select(*own, *[total(to).alias(to) for to in sums])

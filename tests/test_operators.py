@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import arrays, geometry, text
 from tessera.operators import enrich, packing, reshape, sampling, scoring, stats, templates, vectors
-from tessera.plans.store import ordinal
+from tessera.plans.store import ordinal, running
 from tessera.sources import readers, writers
 from tessera.streaming import jobs
 
@@ -109,6 +109,45 @@ def test_sampled_choice(spark):
     assert len(drawn) == 40 and len({r["i"] for r in drawn}) == 4
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_sums_of_groups_of_any_size(spark, parts):
+    key = lambda i: None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}"
+    data = [(key(i), i, None if i % 5 == 0 or i < 4 else i % 13) for i in range(400)]
+    rows = spark.createDataFrame(data, "g string, i long, n long").repartition(parts)
+    for itself in (True, False):
+        want, so_far = {}, {}
+        for g, i, n in data:
+            after = so_far.get(g) if n is None else (so_far.get(g) or 0) + n
+            want[i] = after if itself else so_far.get(g)
+            so_far[g] = after
+        made = running(rows, ["g"], ["i"], {"s": "n"}, itself)
+        assert made.columns == ["g", "i", "n", "s"]
+        assert {r["i"]: r["s"] for r in made.collect()} == want
+    back = {r["i"]: r["s"] for r in running(rows, ["g"], [F.desc("i")], {"s": "n"}).collect()}
+    hot = [(i, n or 0) for g, i, n in data if g == "hot"]
+    assert all((back[i] or 0) == sum(n for j, n in hot if j >= i) for i, _ in hot)
+    assert running(rows.limit(0), ["g"], ["i"], {"s": "n"}).count() == 0
+
+
+def test_lead_and_nucleus_of_a_group_that_holds_most_rows(spark):
+    data = [(None if i % 9 == 0 else "hot" if i % 4 else "small", i) for i in range(120)]
+    rows = spark.createDataFrame(data, "g string, i long")
+    ahead = {r["i"]: r["next"] for r in vectors.lead_over(rows, ["g"], ["i"], "i", "next", 2).collect()}
+    for g in (None, "hot", "small"):
+        own = [i for h, i in data if h == g]
+        assert [ahead[i] for i in own] == own[2:] + [None, None]
+    shares = spark.createDataFrame([("a", i, p) for i, p in enumerate([0.5, 0.25, 0.125, 0.125])] + [("b", 9, 1.0)], "g string, i int, p double")
+    kept = sorted((r["g"], r["i"]) for r in sampling.nucleus(shares, ["g"], "p", ["i"], 0.6).collect())
+    assert kept == [("a", 0), ("a", 1), ("b", 9)]
+
+
+def test_gate_follows_the_order_of_the_file(spark):
+    rows = spark.createDataFrame([(1, 2, [0], 0, 1), (1, 1, [2], 1, 2), (1, 3, [1], 1, 0)], "item int, qid int, parents array<int>, score int, line int")
+    # 3 comes first and sees 1 ungated; 1 is gated by 2; by qid, 3 would be gated through 1
+    assert scoring.gate_scores(rows, "item", "qid", "parents", "score", "line").first()["gated"] == pytest.approx(1 / 3)
+    assert scoring.gate_scores(rows, "item", "qid", "parents", "score").first()["gated"] == 0
+
+
 def test_entropy_bounds(spark):
     rows = spark.createDataFrame([(0, ["a", "b", "a", "b"]), (1, ["c"]), (2, [])], "id int, t array<string>")
     assert stats.conditional_entropy(rows, "t", 2, []).first()["h"] == pytest.approx(0.0)
