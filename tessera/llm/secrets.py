@@ -82,16 +82,14 @@ def _in_place(text: str, where: Map, pattern: re.Pattern, decode) -> tuple[str,
 
 
 def _percent(code: str) -> list[tuple[str, int, int]] | None:
-    try:
-        chars = bytes.fromhex(code.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+    """The characters of a run of percent codes; bytes that aren't UTF-8 stay as their codes."""
     out, at = [], 0
-    for c in chars:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
+    for c in bytes.fromhex(code.replace("%", "")).decode("utf-8", "surrogateescape"):
+        stays = "\udc80" <= c <= "\udcff"
+        n = 3 if stays else 3 * len(c.encode())
+        out += [(x, i, i + 1) for i, x in enumerate(code[at : at + n], at)] if stays else [(c, at, at + n)]
         at += n
-    return out
+    return out if any(b - a > 1 for _, a, b in out) else None
 
 
 def _escape(code: str) -> list[tuple[str, int, int]] | None:
@@ -170,7 +168,7 @@ def _blobs(text: str, where: Map, found: set) -> Iterator[tuple[str, Map]]:
             continue
         if seen:
             layer = data.decode("utf-8", "replace")
-            yield layer, Map(np.full(len(layer), span[0]), np.full(len(layer), span[1]))
+            yield layer, Map(*(np.broadcast_to(np.int64(x), len(layer)) for x in span))  # one number each, however long the layer
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:

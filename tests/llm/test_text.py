@@ -51,6 +51,19 @@ def test_encoded_value_after_plain_keyword():
     assert text[a:b] == "token: %61%62%63%64%65%66%67%68"
 
 
+def test_percent_codes_beside_bytes_that_are_no_text():
+    text = "%ff%FE%74oken%3D%61bcdefgh%C3%A9%ff end"
+    assert secrets.scan(text)[1] == [(6, "assign", text.index("%C3"))]
+    assert secrets.scan("%ff%fe%c3")[1] == [] and secrets._percent("%ff%c3") is None
+    assert secrets._percent("%C3%A9%ff") == [("é", 0, 6), ("%", 6, 7), ("f", 7, 8), ("f", 8, 9)]
+
+
+def test_long_unpacked_layers_keep_their_span():
+    packed = base64.b64encode(gzip.compress(b"x " * 400_000 + b"token=abcdefgh")).decode()
+    text = f"see {packed} end"
+    assert secrets.scan(text)[1] == [(4, "assign", 4 + len(packed.rstrip("=")) + packed.count("="))]
+
+
 def test_scan_boundaries():
     assert kinds("password=12345") == [] and kinds("PassWord = '123456'") == ["assign"]
     assert kinds("AKIA" + "A" * 15) == [] and kinds("AKIA" + "A" * 16) == ["access"]
