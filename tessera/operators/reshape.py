@@ -91,8 +91,9 @@ def flatten_request(df: DataFrame, messages: str = "messages", suffix: str = "")
 
 
 def request_parameter(override: object, asked: Column) -> Column:
-    """The server's own setting before the request's; "all" means no limit."""
-    return F.nullif(F.coalesce(F.lit(override), asked) if override is not None else asked, F.lit("all"))
+    """The server's own setting before the request's, of any type; "all" means no limit."""
+    value = asked if override is None else F.lit(override)
+    return F.when(value.cast("string") != "all", value)
 
 
 def repeated(df: DataFrame, n: int, key: str) -> DataFrame:
