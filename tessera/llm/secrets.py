@@ -34,8 +34,15 @@ KINDS = ("assign", "access", "hex", "oversize")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+?)(?=\\|$)")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-URL_SAFE = str.maketrans("-_", "+/")
+#: A run may be wrapped: lines that end and begin with its characters are one run.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++)={0,2}")
+URL_SAFE = bytes.maketrans(b"-_", b"+/")
+#: base64 characters of the shortest finding, token=abcdef.
+LEAST = 16
+#: What a decoded layer needs for a finding or a further layer; bytes that are no text have it by chance only.
+WORTH = re.compile(r"[A-Za-z0-9+/_.=-]{6}|[A-Za-z0-9+/_-][ \t]*\r?\n|%[0-9A-Fa-f]{2}|\\[uxU]")
+#: Where compressed data may begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd", re.S)
 #: Bytes that one compressed blob may expand to; a larger one is itself reported, as a span of kind "oversize".
 EXPANDED = 64 << 20
 
@@ -136,39 +143,39 @@ def expand(data: bytes) -> bytes | None:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and (text.isprintable() or text.translate({9: " ", 10: " ", 13: " "}).isprintable()) else None
+def _layer(data: bytes, a: np.ndarray, b: np.ndarray, where: Map) -> tuple[str, Map]:
+    """``data``, whose bytes came from [a, b) of the layer that ``where`` maps; a byte is a character, text or not."""
+    return data.decode("latin-1"), Map(a, b) if where.starts is None else Map(where.starts[a], where.ends[b - 1])
 
 
 def _blobs(text: str, where: Map, found: set) -> Iterator[tuple[str, Map]]:
+    """The layers in base64 runs. A run may begin or end with characters that aren't of the code, so it is decoded from
+    each of its first four characters, and compressed data may begin at any byte."""
     for m in BASE64.finditer(text):
-        code = m.group().rstrip("=").translate(URL_SAFE)
-        if len(code) % 4 == 1:
-            code = code[:-1]
-        data = base64.b64decode(code + "=" * (-len(code) % 4))
-        if layer := _readable(data):
-            sizes = np.fromiter((len(c.encode()) for c in layer), np.int64, len(layer))
-            stop = np.cumsum(sizes)
-            a = m.start() + (stop - sizes) * 8 // 6
-            b = np.minimum(m.start() - (-(stop * 8) // 6), m.end())
-            spans = [where.span(x, y) for x, y in zip(a.tolist(), b.tolist())]
-            yield layer, Map(*(np.array(c) for c in zip(*spans)))
-            continue
-        span, seen = where.span(m.start(), m.end()), set()
-        try:
-            while (inner := expand(data)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
-                seen.add(key)
-                data = inner
-        except OverflowError:
-            found.add((span[0], "oversize", span[1]))
-            continue
-        if seen:
-            layer = data.decode("utf-8", "replace")
-            yield layer, Map(*(np.broadcast_to(np.int64(x), len(layer)) for x in span))  # one number each, however long the layer
+        code = np.frombuffer(m.group().rstrip("=").encode(), np.uint8)
+        at = np.flatnonzero(code > 32)
+        code, at = code[at].tobytes().translate(URL_SAFE), at + m.start()
+        for k in range(4):
+            n = len(code) - k - ((len(code) - k) % 4 == 1)
+            if n < LEAST:
+                continue
+            data = base64.b64decode(code[k : k + n] + b"=" * (-n % 4))
+            if WORTH.search(data.decode("latin-1")):
+                i = np.arange(len(data) + 1) * 8
+                yield _layer(data, at[k + i[:-1] // 6], at[k - (-i[1:] // 6) - 1] + 1, where)
+            for g in MAGIC.finditer(data):
+                packed, seen = data[g.start() :], set()
+                span = where.span(int(at[k + g.start() * 8 // 6]), m.end())
+                try:
+                    while (inner := expand(packed)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
+                        seen.add(key)
+                        packed = inner
+                except OverflowError:
+                    found.add((span[0], "oversize", span[1]))
+                    break
+                if seen:
+                    layer = packed.decode("latin-1")
+                    yield layer, Map(*(np.broadcast_to(np.int64(x), len(layer)) for x in span))  # one number each, however long the layer
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -179,9 +186,11 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     found, seen, work = set(plain), set(), [(text, Map())]
     while work:
         layer, where = work.pop()
+        if not layer:
+            continue
         if where.starts is not None:
             key = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
-            if key + bytes(str(where.span(0, len(layer))), "ascii") in seen or not layer:
+            if key + bytes(str(where.span(0, len(layer))), "ascii") in seen:
                 continue
             seen.add(key + bytes(str(where.span(0, len(layer))), "ascii"))
             for a, kind, b in base(layer):

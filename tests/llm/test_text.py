@@ -64,6 +64,41 @@ def test_long_unpacked_layers_keep_their_span():
     assert secrets.scan(text)[1] == [(4, "assign", 4 + len(packed.rstrip("=")) + packed.count("="))]
 
 
+def wrapped(data: bytes, width: int, end: str = "\n") -> str:
+    code = base64.b64encode(data).decode()
+    return end.join(code[i : i + width] for i in range(0, len(code), width))
+
+
+@pytest.mark.parametrize("glue", ["https://h.example/cb/{}", "v1-{}", "{}_old", "ab/{}", "key_{}-x", "{}\nThe end", "one\n{}"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_base64_glued_to_characters_of_its_alphabet(glue, pack):
+    code = base64.b64encode(pack(SECRET.encode())).decode().rstrip("=")
+    text = "é see " + glue.format(code) + " end"
+    a, _, b = next(x for x in secrets.scan(text)[1] if x[1] == "assign")
+    assert a <= text.index(code) + 1 and text.index(code) - 1 <= a and b >= text.index(code) + len(code) - 2
+    assert code not in secrets.redact(text) and secrets.redact(text).startswith("é see ") and secrets.redact(text).endswith(" end")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [1, 5, 10, 64, 76])
+def test_wrapped_base64(width, end):
+    for data in (b"x" * 43 + b" " + SECRET.encode(), gzip.compress(random.Random(1).randbytes(300) + b" " + SECRET.encode())):
+        code = wrapped(data, width, end)
+        text = f"see: {code} end"
+        assert "assign" in kinds(text) and all(5 <= a < b <= 5 + len(code) for a, _, b in secrets.scan(text)[1])
+
+
+@pytest.mark.parametrize("odd", [b"\0", b"\f", "\u00a0".encode(), b"\xef\xbb\xbf", "\u200b".encode(), b"\xff\xfe\x80"])
+def test_layers_that_are_not_all_text(odd):
+    code = base64.b64encode(odd + SECRET.encode() + odd + base64.b64encode(odd + b"AKIA" + b"A" * 16)).decode()
+    text = f"see {code} end"
+    assert {"assign", "access"} <= set(kinds(text)) and all(4 <= a < b <= 4 + len(code) for a, _, b in secrets.scan(text)[1])
+
+
+def test_empty_unpacked_layer():
+    assert kinds(base64.b64encode(gzip.compress(b"")).decode()) == []
+
+
 def test_scan_boundaries():
     assert kinds("password=12345") == [] and kinds("PassWord = '123456'") == ["assign"]
     assert kinds("AKIA" + "A" * 15) == [] and kinds("AKIA" + "A" * 16) == ["access"]
