@@ -15,6 +15,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .common import small_batches
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KINDS = ("assign", "access", "hex", "oversize")
+KINDS = ("assign", "access", "hex")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
@@ -41,10 +42,16 @@ URL_SAFE = bytes.maketrans(b"-_", b"+/")
 LEAST = 16
 #: What a decoded layer needs for a finding or a further layer; bytes that are no text have it by chance only.
 WORTH = re.compile(r"[A-Za-z0-9+/_.=-]{6}|[A-Za-z0-9+/_-][ \t]*\r?\n|%[0-9A-Fa-f]{2}|\\[uxU]")
-#: Where compressed data may begin.
-MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd", re.S)
-#: Bytes that one compressed blob may expand to; a larger one is itself reported, as a span of kind "oversize".
+#: Where compressed data may begin; a frame that zstd skips may stand before it.
+SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18", re.S)
+MAGIC = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd", re.S)
+#: Bytes that a compressed blob may expand to at once; a larger one is scanned as a stream.
 EXPANDED = 64 << 20
+#: Bytes taken in and given out at once; a zstd block of 4 bytes may hold 128 KiB.
+STEP, ZSTD_STEP, UNPACKED = 1 << 16, 1 << 8, 1 << 20
+#: Characters of a piece of a stream, and where one may end: no finding, code or base64 run goes over these.
+PIECE = 4 << 20
+APART = re.compile(r"[^A-Za-z0-9+/_.=:%\\'\"\x20\t\r\n-]|(?<=[g-zG-Z])\x20(?=[A-Za-z0-9])")
 
 
 def base(text: str) -> list[tuple[int, str, int]]:
@@ -118,29 +125,140 @@ def _escape(code: str) -> list[tuple[str, int, int]] | None:
     return out or None
 
 
-def expand(data: bytes) -> bytes | None:
-    """What ``data`` is the compressed form of; None if it isn't compressed. OverflowError: it is too large."""
+class _Input:
+    """The bytes of an iterator of pieces. ``rest`` was taken from it and isn't used yet; ``used`` bytes are. Members
+    stand in the first ``end`` bytes, and those of them that are whole in the first ``closed``."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.rest, self.used, self.end, self.closed = pieces, b"", 0, 0, 0
+
+    def fill(self, n: int) -> bool:
+        while len(self.rest) < n and (piece := next(self.pieces, None)) is not None:
+            self.rest += piece
+        return len(self.rest) >= n
+
+    def take(self, n: int) -> bytes:
+        piece, self.rest = self.rest[:n], self.rest[n:]
+        self.used += len(piece)
+        return piece
+
+    def give_back(self, piece: bytes) -> None:
+        self.rest = piece + self.rest
+        self.used -= len(piece)
+
+
+def _coder(head: bytes):
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _member(coder, data: _Input) -> Iterator[bytes]:
+    """What one member unpacks to, in pieces of bounded size; at a fault or the end of the data it ends."""
+    zstd, full = isinstance(coder, type(zstandard.ZstdDecompressor().decompressobj())), False
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-            coder = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            coder = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            coder = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(EXPANDED + 1)
-            if len(out) > EXPANDED:
-                raise OverflowError
-            return out
-        else:
-            return None
-        out = coder.decompress(data, EXPANDED + 1)
+        while not coder.eof:
+            if not getattr(coder, "needs_input", True):
+                piece = b""
+            elif data.fill(1):
+                piece = data.take(ZSTD_STEP if zstd else STEP)
+            elif full:
+                piece = b""
+            else:
+                return
+            out = coder.decompress(piece) if zstd else coder.decompress(piece, UNPACKED)
+            data.give_back(coder.unused_data if coder.eof else getattr(coder, "unconsumed_tail", b""))
+            full = len(out) >= UNPACKED
+            if out:
+                yield out
+            elif not piece and not coder.eof:
+                return
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        return
+
+
+def _unpacked(data: _Input) -> Iterator[bytes]:
+    """What all members of ``data`` unpack to, one after another; nothing if it isn't compressed."""
+    while data.fill(6) or data.rest:
+        if SKIPPED.match(data.rest) and data.fill(8):
+            left = 8 + int.from_bytes(data.rest[4:8], "little")
+            while left and data.fill(1):
+                left -= len(data.take(left))
+            data.end = data.used
+            continue
+        if (coder := _coder(data.rest)) is None:
+            return
+        yield from _member(coder, data)
+        data.end = data.used
+        if not coder.eof:
+            return
+        data.closed = data.used
+        while data.fill(1) and not data.rest[0]:  # padding
+            data.take(len(data.rest) - len(data.rest.lstrip(b"\0")))
+
+
+def _pieces(data) -> Iterator[bytes]:
+    return (bytes(data[i : i + STEP]) for i in range(0, len(data), STEP))
+
+
+def _packed_size(data) -> tuple[int, int]:
+    """The numbers of bytes that the members of ``data`` and its whole members stand in."""
+    source = _Input(_pieces(data))
+    for _ in _unpacked(source):
+        pass
+    return source.end, source.closed
+
+
+class Unpacked(bytes):
+    """Unpacked data, and the numbers of bytes that its members and its whole members stood in."""
+
+    size = (0, 0)
+
+
+def expand(data) -> bytes | None:
+    """What all members of ``data`` are the compressed form of; None if it isn't compressed. OverflowError: it is over EXPANDED."""
+    source, out, size = _Input(_pieces(data)), [], 0
+    for piece in _unpacked(source):
+        out.append(piece)
+        if (size := size + len(piece)) > EXPANDED:
+            raise OverflowError
+    if not out:
         return None
-    if len(out) > EXPANDED:
-        raise OverflowError
-    return out
+    made = Unpacked(b"".join(out))
+    made.size = source.end, source.closed
+    return made
+
+
+def _streamed(data) -> Iterator[str]:
+    """What ``data`` unpacks to, then what that unpacks to and so on, in overlapping pieces: what a finding or a layer
+    in them begins with lies in the same piece as its end. Only a stretch without a place to cut makes a long piece."""
+    for depth in count(1):
+        source, text, most = _pieces(data), "", PIECE
+        for _ in range(depth):
+            source = _unpacked(_Input(source))
+        empty = True
+        for piece in source:
+            empty = False
+            text += piece.decode("latin-1")
+            if len(text) >= most:
+                cut = 0
+                for back in (1 << 12, len(text)):
+                    for m in APART.finditer(text, max(0, len(text) - back)):
+                        cut = m.end()
+                    if cut:
+                        yield text
+                        break
+                text = text[cut:]
+                most = PIECE + 2 * len(text)
+        if empty:
+            return
+        yield text
 
 
 def _layer(data: bytes, a: np.ndarray, b: np.ndarray, where: Map) -> tuple[str, Map]:
@@ -148,7 +266,7 @@ def _layer(data: bytes, a: np.ndarray, b: np.ndarray, where: Map) -> tuple[str,
     return data.decode("latin-1"), Map(a, b) if where.starts is None else Map(where.starts[a], where.ends[b - 1])
 
 
-def _blobs(text: str, where: Map, found: set) -> Iterator[tuple[str, Map]]:
+def _blobs(text: str, where: Map) -> Iterator[tuple[str, Map]]:
     """The layers in base64 runs. A run may begin or end with characters that aren't of the code, so it is decoded from
     each of its first four characters, and compressed data may begin at any byte."""
     for m in BASE64.finditer(text):
@@ -163,18 +281,26 @@ def _blobs(text: str, where: Map, found: set) -> Iterator[tuple[str, Map]]:
             if WORTH.search(data.decode("latin-1")):
                 i = np.arange(len(data) + 1) * 8
                 yield _layer(data, at[k + i[:-1] // 6], at[k - (-i[1:] // 6) - 1] + 1, where)
+            whole, done = memoryview(data), 0
             for g in MAGIC.finditer(data):
-                packed, seen = data[g.start() :], set()
-                span = where.span(int(at[k + g.start() * 8 // 6]), m.end())
+                if g.start() < done:
+                    continue
+                packed, seen, size = whole[g.start() :], set(), None
                 try:
                     while (inner := expand(packed)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
                         seen.add(key)
+                        size = size or getattr(inner, "size", (len(packed), 0))
                         packed = inner
+                    if not seen:
+                        continue
+                    layers = [str(packed, "latin-1")]
                 except OverflowError:
-                    found.add((span[0], "oversize", span[1]))
-                    break
-                if seen:
-                    layer = packed.decode("latin-1")
+                    size = size or _packed_size(packed)
+                    layers = _streamed(packed)
+                end, done = g.start() + size[0], g.start() + size[1]
+                stop = m.end() if end >= len(data) else int(at[k - (-end * 8 // 6) - 1]) + 1
+                span = where.span(int(at[k + g.start() * 8 // 6]), stop)
+                for layer in layers:
                     yield layer, Map(*(np.broadcast_to(np.int64(x), len(layer)) for x in span))  # one number each, however long the layer
 
 
@@ -183,10 +309,12 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     text = text or ""
     order = lambda x: (x[0], KINDS.index(x[1]), x[2])
     plain = sorted(base(text), key=order)
-    found, seen, work = set(plain), set(), [(text, Map())]
+    found, seen, work = set(plain), set(), [iter([(text, Map())])]
     while work:
-        layer, where = work.pop()
+        layer, where = next(work[-1], (None, None))
         if not layer:
+            if layer is None:
+                work.pop()
             continue
         if where.starts is not None:
             key = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
@@ -197,10 +325,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
                 s, e = where.span(a, b)
                 found.add((s, kind, e))
         if "%" in layer and (got := _in_place(layer, where, PERCENT, _percent)):
-            work.append(got)
+            work.append(iter([got]))
         if "\\" in layer and (got := _in_place(layer, where, ESCAPE, _escape)):
-            work.append(got)
-        work += _blobs(layer, where, found)
+            work.append(iter([got]))
+        work.append(_blobs(layer, where))
     return plain, sorted(found, key=order)
 
 
@@ -217,7 +345,7 @@ def _scans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for t in texts:
             plain, every = scan(t)
-            counts = [sum(k == kind for _, k, _ in plain) for kind in KINDS[:3]]
+            counts = [sum(k == kind for _, k, _ in plain) for kind in KINDS]
             rows.append((*counts, hashlib.sha256(_join(plain).encode()).hexdigest(), _join(every)))
         yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 

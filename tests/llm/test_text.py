@@ -1,8 +1,10 @@
 """Secrets, languages, quality and SentencePiece."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -11,6 +13,7 @@ from urllib.parse import quote
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 
 from tests.llm.conftest import prose
 from tessera.llm import langid, quality, secrets, sentencepieces
@@ -99,6 +102,37 @@ def test_empty_unpacked_layer():
     assert kinds(base64.b64encode(gzip.compress(b"")).decode()) == []
 
 
+def skippable(data: bytes) -> bytes:
+    return b"\x50\x2a\x4d\x18\x04\0\0\0size" + zstandard.compress(data)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress, skippable, lambda d: lzma.compress(d) + b"\0" * 8])
+def test_every_member_is_unpacked(pack):
+    data = pack(b"") + pack(b"first") + pack(b"x AKIA" + b"A" * 16) + pack(b"y " + SECRET.encode() + b" z")
+    assert secrets.expand(data) == b"firstx AKIA" + b"A" * 16 + b"y " + SECRET.encode() + b" z"
+    for inner in (data, gzip.compress(data[:9]) + gzip.compress(data[9:])):
+        code = base64.b64encode(inner).decode().rstrip("=")
+        found = secrets.scan(f"see ab/{code}_old-but-more end")[1]
+        whole = [k for a, k, b in found if a <= 8 and b >= len(code) - 11]
+        assert sorted(whole) == ["access", "assign"] and all(6 <= a < b <= 9 + len(code) for a, _, b in found)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress, lambda d: gzip.compress(bz2.compress(d)), lambda d: gzip.compress(d[: 1 << 15]) + gzip.compress(d[1 << 15 :])])
+def test_large_output_is_scanned_as_a_stream(monkeypatch, pack):
+    monkeypatch.setattr(secrets, "EXPANDED", 1 << 16)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    for size in range(4070, 4100, 3):  # over the end of a piece
+        inner = base64.b64encode(gzip.compress(b"AKIA" + b"A" * 16))
+        data = (b"z " * size + b"token = 'abcdefgh', " + b"some words " * 20_000 + b"\0" * size + inner + b"\0" * 70_000)[: 1 << 20]
+        assert sorted(set(kinds(base64.b64encode(pack(data)).decode()))) == ["access", "assign"]
+        assert kinds(base64.b64encode(pack(b"z" * (1 << 20))).decode()) == []
+
+
+def test_data_that_unpacks_to_itself_ends(monkeypatch):
+    monkeypatch.setattr(secrets, "expand", lambda data: data)
+    assert kinds(base64.b64encode(b"\x1f\x8b\x08" + bytes(range(128, 160))).decode()) == []
+
+
 def test_scan_boundaries():
     assert kinds("password=12345") == [] and kinds("PassWord = '123456'") == ["assign"]
     assert kinds("AKIA" + "A" * 15) == [] and kinds("AKIA" + "A" * 16) == ["access"]
