@@ -10,40 +10,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import cosine
-from tessera.plans.store import ordinal
+from tessera.plans.store import discard, ordinal, table
 
-#: Entries that a codebook may have to be sent to every task.
-CODEBOOK = 1 << 16
+#: Entries of a codebook that are sent to every task at once, and distances that a task holds at once.
+CODEBOOK, DISTANCES = 1 << 16, 1 << 22
 
 
 def nearest_code(df: DataFrame, vec: str, codebook: DataFrame, code: str = "code_id", code_vec: str = "code_vec") -> DataFrame:
     """Adds code_id and code_dist (squared) of the nearest entry; the smallest id of equals. Vectors without finite
-    numbers or of another length get null. The codebook is checked to be bounded before it is sent out."""
-    entries = codebook.select(code, code_vec).orderBy(code).limit(CODEBOOK + 1).collect()
-    if len(entries) > CODEBOOK:
-        raise ValueError(f"a codebook may have {CODEBOOK} entries")
+    numbers or of another length get null. A codebook of more than CODEBOOK entries is sent out in blocks of so many, in
+    order of id; between blocks the rows are written with the nearest entry so far."""
+    entries = codebook.select(code, code_vec)
+    first = entries.orderBy(code).limit(CODEBOOK + 1).collect()
+    if len(first) <= CODEBOOK:
+        found = _nearer(df, vec, first, None)
+    else:
+        del first
+        placed = table(ordinal(entries, [code], "_at"))
+        n, found, written = placed.count(), df, None
+        for a in range(0, n, CODEBOOK):
+            block = placed.filter((F.col("_at") >= a) & (F.col("_at") < a + CODEBOOK)).orderBy("_at").select(code, code_vec).collect()
+            found = _nearer(found, vec, block, "_code" if a else None)
+            if a + CODEBOOK < n:
+                found = table(found)
+                if written is not None:
+                    discard(written)
+                written = found
+        discard(placed)
+    return found.select(*[F.col(c) for c in df.columns], "_code.*")
+
+
+def _nearer(df: DataFrame, vec: str, entries: list, so_far: str | None) -> DataFrame:
+    """``df`` with _code, the nearest of ``entries``, which are in order of id, and of the one in ``so_far``."""
     ids = np.array([e[0] for e in entries], np.int64)
     book = np.array([e[1] for e in entries], np.float64).reshape(len(ids), -1)
     sent = df.sparkSession.sparkContext.broadcast((ids, book, (book * book).sum(axis=1)))
 
     @F.pandas_udf("code_id long, code_dist double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         ids, book, norms = sent.value
-        for vecs in batches:
-            best, dist = np.full(len(vecs), -1), np.zeros(len(vecs))
+        step = max(1, min(1024, DISTANCES // max(1, len(ids))))
+        for vecs, known, dist in batches:
+            known, dist = [None if pd.isna(x) else i for i, x in zip(known, dist)], dist.tolist()
             at = [i for i, v in enumerate(vecs) if v is not None and len(v) == book.shape[1] and np.isfinite(np.asarray(v, np.float64)).all()]
-            for a in range(0, len(at), 1024) if len(ids) else ():
-                x = np.array([vecs.iloc[i] for i in at[a : a + 1024]], np.float64)
+            for a in range(0, len(at), step) if len(ids) else ():
+                x = np.array([vecs.iloc[i] for i in at[a : a + step]], np.float64)
                 d = norms - 2 * x @ book.T
                 # what rounding can't tell apart is measured again, term by term
                 near = d <= d.min(axis=1, keepdims=True) + 1e-9
-                for k, i in enumerate(at[a : a + 1024]):
+                for k, i in enumerate(at[a : a + step]):
                     c = np.flatnonzero(near[k])
                     exact = ((x[k] - book[c]) ** 2).sum(axis=1)
-                    best[i], dist[i] = c[exact.argmin()], exact.min()
-            yield pd.DataFrame({"code_id": [int(ids[b]) if b >= 0 else None for b in best], "code_dist": [x if b >= 0 else None for b, x in zip(best, dist)]}).astype({"code_id": "Int64"})
+                    if known[i] is None or exact.min() < dist[i]:
+                        known[i], dist[i] = int(ids[c[exact.argmin()]]), exact.min()
+            yield pd.DataFrame({"code_id": pd.array(known, "Int64"), "code_dist": [None if i is None else x for i, x in zip(known, dist)]})
 
-    return df.withColumn("_code", run(F.col(vec))).select("*", "_code.*").drop("_code")
+    # ids come without nulls, which would make them floats
+    before = (F.coalesce(f"{so_far}.code_id", F.lit(0)), F.col(f"{so_far}.code_dist")) if so_far else (F.lit(0).cast("long"), F.lit(None).cast("double"))
+    return df.withColumn("_code", run(F.col(vec), *before))
 
 
 def gather_codes(df: DataFrame, code: str, codebook: DataFrame, book_code: str = "code_id", code_vec: str = "code_vec") -> DataFrame:

@@ -204,6 +204,20 @@ def test_nearest_code_odd_vectors(spark):
     assert {r["id"]: r["code_id"] for r in vectors.nearest_code(rows, "v", book).collect()} == {1: 5, 2: None, 3: None, 4: None}
 
 
+def test_nearest_code_in_blocks(spark, monkeypatch):
+    book = spark.createDataFrame([((7 * i) % 23 + (1 << 60), [float(i % 12), 0.5 * (i % 12)]) for i in range(23)], "code_id long, code_vec array<double>")
+    rows = spark.createDataFrame([(i, [i / 3, 1.0]) for i in range(40)] + [(40, None), (41, [1.0]), (42, [float("nan"), 0.0])], "id int, v array<double>")
+    entries = [(r["code_id"], r["code_vec"]) for r in book.collect()]
+    want = {r["id"]: min(((r["v"][0] - x) ** 2 + (r["v"][1] - y) ** 2, i) for i, (x, y) in entries)[::-1] if r["id"] < 40 else (None, None) for r in rows.collect()}
+    for block in (1 << 16, 23, 22, 5):
+        monkeypatch.setattr(vectors, "CODEBOOK", block)
+        made = vectors.nearest_code(rows, "v", book)
+        assert made.columns == ["id", "v", "code_id", "code_dist"]
+        got = {r["id"]: (r["code_id"], r["code_dist"]) for r in made.collect()}
+        assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+        assert all(d == pytest.approx(want[i][1]) for i, (_, d) in got.items() if d is not None)
+
+
 def test_routed_keeps_rows(spark):
     made = vectors.routed(spark.range(6).withColumn("m", F.col("id") % 2 == 0), "m", lambda d: d.withColumn("x", F.lit(1)), lambda d: d.withColumn("x", F.lit(2)))
     assert sorted((r["id"], r["x"]) for r in made.collect()) == [(i, 1 + i % 2) for i in range(6)]
