@@ -588,6 +588,20 @@ def request_flatten(spark, sf_dir):
     return made.select("page_id", "prompt", F.size("images").alias("n_images"), F.md5("url").alias("url_md5"))
 
 
+@query("""
+    SELECT page_id, repeat('<|vision_start|><img><|vision_end|>' || chr(10), (page_id % 3)::INT) || replace(replace(html, '<img>', ''), '<image>', '') || ' end' AS prompt, (page_id % 3)::INT AS n_images, md5(url) AS url_md5 FROM pages
+""")
+def request_flatten_whole(spark, sf_dir):
+    """request_flatten over whole pages."""
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("image_url"))
+    none = F.lit(None).cast("string")
+    image = part("image_url", none, F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("url", "UTF-8"))))
+    said = F.concat(F.array(part("text", F.col("html"), none)), F.array_repeat(image, (F.col("page_id") % 3).cast("int")))
+    rows = read(spark, sf_dir, "pages").withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))))
+    made = reshape.flatten_request(rows, suffix=" end")
+    return made.select("page_id", "prompt", F.size("images").alias("n_images"), F.md5("url").alias("url_md5"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

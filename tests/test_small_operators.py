@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, geometry, text
 from tessera.operators import enrich, packing, reshape, sampling, scoring, templates
+from tessera.plans.catalogue import QUERIES
 from tessera.sources import readers, writers
 from tessera.streaming import jobs
 
@@ -151,3 +152,10 @@ def test_line_stream_and_windows(spark, tmp_path):
     assert sorted(r["value"] for r in jobs.run_once(jobs.text_lines(spark, str(tmp_path / "in")), "some_lines").collect()) == ["x", "y"]
     events = spark.sql("SELECT timestamp'2025-01-01 00:10:00' AS ts, 'a' AS k UNION ALL SELECT timestamp'2025-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2025-01-01 01:00:00', 'a'")
     assert sorted(r["count"] for r in jobs.windowed_counts(events, "ts", ["k"]).collect()) == [1, 2]
+
+
+def test_request_flatten_whole_has_all_of_a_page(spark, tmp_path):
+    html = "a" * 199 + "<img>b<image>" + "c" * 500
+    spark.createDataFrame([(1, html, "u")], "page_id long, html string, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    r = QUERIES["request_flatten_whole"](spark, str(tmp_path)).first()
+    assert r["prompt"] == "<|vision_start|><img><|vision_end|>\n" + "a" * 199 + "b" + "c" * 500 + " end" and r["n_images"] == 1
