@@ -254,6 +254,18 @@ def separators_insert(spark, sf_dir):
     return rows.select("vec_id", F.array_join(F.transform(arrays.insert_separators(F.col("c"), 4, -7), lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("""
+    WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: (floor(abs(x) * 100))::INT) AS c FROM embeddings),
+         s AS (SELECT vec_id, flatten(list_transform(range(0, len(c) // 4), lambda i: list_append(c[(i * 4 + 1):(i * 4 + 4)], -7))) AS s FROM c)
+    SELECT vec_id, array_to_string(s, ',') AS ids FROM s
+""")
+def separators_insert_whole(spark, sf_dir):
+    """separators_insert over whole vectors."""
+    codes = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", codes.alias("c"))
+    return rows.select("vec_id", F.array_join(F.transform(arrays.insert_separators(F.col("c"), 4, -7), lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query("""
     WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents)
     SELECT doc_id, repeat('0', greatest(0, 6 - length((n % 9)::VARCHAR))::INT) || (n % 9)::VARCHAR AS padded, (n >= 200)::INT AS vision, greatest(0, least(8191, n - 300))::INT AS clamped FROM d
@@ -377,6 +389,14 @@ def server_normalize(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter(F.trim("text") != "").select("doc_id", text.served_answer(F.col("text")).alias("answer"))
 
 
+@query("""
+    SELECT doc_id, CASE WHEN regexp_full_match(text, '\\s*') THEN '' WHEN regexp_extract(text, '[A-D]') <> '' THEN regexp_extract(text, '[A-D]') WHEN contains(text, '是') THEN 'yes' WHEN contains(text, '否') OR contains(text, '不') THEN 'no' ELSE text END AS answer FROM documents
+""")
+def server_normalize_whole(spark, sf_dir):
+    """server_normalize with blank and null documents too."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.served_answer(F.col("text")).alias("answer"))
+
+
 @query("""
     WITH r AS (SELECT lang, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS t, CASE WHEN n_chars > 1000 THEN 'yes' WHEN n_chars > 200 THEN 'no' ELSE 'error' END AS p FROM documents JOIN labels USING (doc_id)),
          c AS (SELECT lang, count(*) AS n, count(*) FILTER (t = p)::DOUBLE AS ok, count(*) FILTER (t = 'yes' AND p = 'yes')::DOUBLE AS tp, count(*) FILTER (t <> 'yes' AND p = 'yes')::DOUBLE AS fp, count(*) FILTER (t = 'yes' AND p <> 'yes')::DOUBLE AS fn FROM r WHERE p IN ('yes', 'no') GROUP BY lang),
@@ -483,6 +503,13 @@ def group_intersection(spark, sf_dir):
     return vectors.in_both(ours, theirs, ["c_nationkey"]).select("c_custkey", "c_nationkey")
 
 
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def group_intersection_whole(spark, sf_dir):
+    """group_intersection of two whole tables; not every customer has an order."""
+    theirs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return vectors.in_both(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), theirs, ["c_custkey"]).select("c_custkey", "c_nationkey")
+
+
 _BOOK = "b AS (SELECT vec_id AS code_id, embedding::DOUBLE[] AS code_vec FROM embeddings WHERE vec_id % 20 = 0)"
 _NEAR = f"{_BOOK}, d AS (SELECT vec_id, code_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], code_vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings, b), n AS (SELECT vec_id, arg_min(code_id, (d, code_id)) AS code_id, min(d) AS d FROM d GROUP BY vec_id)"
 
@@ -774,6 +801,14 @@ def dialogue_export(spark, sf_dir):
     return _dialogues(spark, sf_dir).select("conv_id", F.left(F.array_join(F.transform(back, lambda m: m["text"]), " "), F.lit(40)).alias("opening"), F.size(back).alias("messages"))
 
 
+@query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles, string_agg(text, ' ' ORDER BY turn) AS texts, count(*)::INT AS messages FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def dialogue_export_whole(spark, sf_dir):
+    """dialogue_export with all turns and roles."""
+    back = F.from_json(templates.exported(F.col("messages"), templates.template("v1")), "struct<messages:array<struct<role:string,text:string>>>")["messages"]
+    joined = lambda name: F.array_join(F.transform(back, lambda m: m[name]), " ").alias(f"{name}s")
+    return _dialogues(spark, sf_dir).select("conv_id", joined("role"), joined("text"), F.size(back).alias("messages"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -159,3 +159,18 @@ def test_request_flatten_whole_has_all_of_a_page(spark, tmp_path):
     spark.createDataFrame([(1, html, "u")], "page_id long, html string, url string").write.parquet(str(tmp_path / "pages.parquet"))
     r = QUERIES["request_flatten_whole"](spark, str(tmp_path)).first()
     assert r["prompt"] == "<|vision_start|><img><|vision_end|>\n" + "a" * 199 + "b" + "c" * 500 + " end" and r["n_images"] == 1
+
+
+def test_whole_queries_leave_nothing_out(spark, tmp_path):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("documents", [(1, " \t\n"), (2, None), (3, "so B")], "doc_id long, text string")
+    put("embeddings", [(1, [0.5] * 64)], "vec_id long, embedding array<float>")
+    put("conversations", [("c", t, "user" if t % 2 == 0 else "assistant", f"turn {t} " + "x" * 30) for t in range(6)], "conv_id string, turn int, role string, text string")
+    put("customer", [(1, 1), (2, 1), (3, 2)], "c_custkey long, c_nationkey int")
+    put("orders", [(3,), (1,), (1,)], "o_custkey long")
+    rows = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["answer"] for r in rows("server_normalize_whole")} == {1: "", 2: None, 3: "B"}
+    assert rows("separators_insert_whole")[0]["ids"] == ",".join(["50,50,50,50,-7"] * 16)
+    r = rows("dialogue_export_whole")[0]
+    assert (r["roles"], r["texts"], r["messages"]) == ("user assistant " * 2 + "user assistant", " ".join(f"turn {t} " + "x" * 30 for t in range(6)), 6)
+    assert sorted(r["c_custkey"] for r in rows("group_intersection_whole")) == [1, 3]
