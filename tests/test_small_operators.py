@@ -174,3 +174,9 @@ def test_whole_queries_leave_nothing_out(spark, tmp_path):
     r = rows("dialogue_export_whole")[0]
     assert (r["roles"], r["texts"], r["messages"]) == ("user assistant " * 2 + "user assistant", " ".join(f"turn {t} " + "x" * 30 for t in range(6)), 6)
     assert sorted(r["c_custkey"] for r in rows("group_intersection_whole")) == [1, 3]
+
+
+def test_microbatches_are_runs_of_rows(spark, tmp_path):
+    spark.range(2500).selectExpr("7 + 3 * id AS event_id", "'a' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    made = QUERIES["microbatch_requests"](spark, str(tmp_path)).collect()
+    assert sorted((r["batch"], r["n"]) for r in made) == [(0, 1000), (1, 1000), (2, 500)]
