@@ -193,10 +193,13 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: str = "true") -> Model:
     """Fits on about SAMPLE documents of each language (never over twice that in all) where ``learn``, a predicate on
-    doc_id, holds: those whose hash of id falls under the language's share. Languages are counted first."""
+    doc_id, holds: those whose hash of id falls under the language's share. Languages are counted
+    first; more than LANGUAGES are an error."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = rows.filter(learn).filter("lang is not null and text is not null")
-    langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"the model holds {LANGUAGES} languages, and {lang_col} has more values")
     at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     chosen = F.lit(False)
     for x, n in langs.items():

@@ -305,3 +305,11 @@ def test_sentencepiece_rows(docs, empty):
     got = sentencepieces.encode_decode(docs, tokenizer("piece_bpe_32k.model"), keep=True).collect()
     assert len(got) == docs.count() and all(r["exact"] and r["n_ids"] == len(r["ids"]) for r in got)
     assert sentencepieces.encode_decode(empty, tokenizer("piece_bpe_32k.model")).count() == 0
+
+
+def test_more_languages_than_the_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = spark.createDataFrame([(i, "some words", "abc"[i]) for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(rows)
+    assert langid.fit(rows.filter("lang <> 'c'")).langs == ["a", "b"]
