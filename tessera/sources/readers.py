@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tessera.functions.text import longest_value
 from tessera.operators.sampling import head_fraction
 from tessera.schemas import PATH_SPLIT, TRAIN_SCHEMA
 
+#: Bytes of files that an executor's Python holds at once, or one file that is larger.
+AUDITED = 16 << 20
+
 
 def records(spark: SparkSession, path: str, form: str = "parquet", schema: T.StructType | None = TRAIN_SCHEMA, split: str | None = None) -> DataFrame:
     """Training records with the declared schema; with ``split`` only that partition of a split column."""
@@ -47,12 +56,36 @@ def checked_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
     return rows.filter(~bad).select("_row.*").drop("_corrupt_record"), rows.filter(bad).select(F.col("_row._corrupt_record").alias("line"))
 
 
-def audit(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """(path, readable, problem) of each Parquet file, from its head and foot; no file is decoded on the driver."""
+def audit(spark: SparkSession, path: str, glob: str = "*.parquet", schema: T.StructType | None = None) -> DataFrame:
+    """(path, readable, problem) of each Parquet file. Executors decode every row group, in batches of bounded size; with
+    ``schema`` a file must have its columns and types."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, min(AUDITED, own) if (own := _bytes(spark.conf.get(key))) > 0 else AUDITED)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    magic = F.lit(b"PAR1")
-    good = (F.col("length") >= 12) & (F.substring("content", 1, 4) == magic) & (F.call_function("right", F.col("content"), F.lit(4)) == magic)
-    return files.select("path", good.alias("readable"), F.when(~good, "no Parquet file").alias("problem"))
+    want = schema and [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+    @F.pandas_udf(T.StringType())
+    def problem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            yield pd.Series([_problem(c, want) for c in contents], dtype=object)
+
+    return files.select("path", problem.asNondeterministic()("content").alias("problem")).select("path", F.col("problem").isNull().alias("readable"), "problem")
+
+
+def _bytes(size: str) -> int:
+    return int(size.rstrip("bB")) if size.rstrip("bB").lstrip("-").isdigit() else 0
+
+
+def _problem(content: bytes, want: list[tuple[str, str]] | None) -> str | None:
+    """What keeps a Parquet file from being read; None if nothing does."""
+    try:
+        with parquet.ParquetFile(pa.BufferReader(content), page_checksum_verification=True) as file:
+            if want is not None and (has := [(f.name, f.dataType.simpleString()) for f in from_arrow_schema(file.schema_arrow).fields]) != want:
+                return f"other columns: {has}"
+            rows = sum(batch.num_rows for batch in file.iter_batches(batch_size=1024))
+            return None if rows == file.metadata.num_rows else f"{rows} rows of {file.metadata.num_rows}"
+    except Exception as e:  # noqa: BLE001  damaged bytes raise errors of many kinds
+        return f"{type(e).__name__}: {e}"
 
 
 def subsets(spark: SparkSession, root: str, names: list[str], form: str = "parquet") -> DataFrame:

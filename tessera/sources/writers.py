@@ -1,4 +1,4 @@
-"""Sinks. Tasks write files of their own; nothing is gathered in one task unless its size is bounded."""
+"""Sinks. Tasks write files of their own; only summaries and reports are written by one task, row by row."""
 
 from __future__ import annotations
 
@@ -38,9 +38,9 @@ def delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexi
 
 
 def with_summary(results: DataFrame, summary: DataFrame, path: str) -> None:
-    """Results as JSON lines and a summary of a few rows beside them."""
+    """Results as JSON lines and a summary, in one file, beside them."""
     results.write.json(f"{path}/results")
-    summary.limit(1000).coalesce(1).write.json(f"{path}/summary")
+    summary.coalesce(1).write.json(f"{path}/summary")
 
 
 def append_lines(df: DataFrame, path: str) -> None:
@@ -49,7 +49,7 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def report(summary: DataFrame, path: str) -> None:
-    summary.limit(10_000).coalesce(1).write.text(path)
+    summary.coalesce(1).write.text(path)
 
 
 def ordered_text(df: DataFrame, path: str, order: list[str], text: str) -> None:

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import arrays, geometry, text
 from tessera.operators import enrich, packing, reshape, sampling, scoring, templates
@@ -180,3 +181,26 @@ def test_microbatches_are_runs_of_rows(spark, tmp_path):
     spark.range(2500).selectExpr("7 + 3 * id AS event_id", "'a' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
     made = QUERIES["microbatch_requests"](spark, str(tmp_path)).collect()
     assert sorted((r["batch"], r["n"]) for r in made) == [(0, 1000), (1, 1000), (2, 500)]
+
+
+def test_audit_decodes_files(spark, tmp_path):
+    pq, n = pytest.importorskip("pyarrow.parquet"), 5000
+    table = pytest.importorskip("pyarrow").table({"a": list(range(n)), "b": [f"text {i}" for i in range(n)]})
+    pq.write_table(table, tmp_path / "good.parquet", row_group_size=1000)
+    whole = (tmp_path / "good.parquet").read_bytes()
+    (tmp_path / "pages.parquet").write_bytes(whole[:4] + bytes(len(whole) // 2) + whole[4 + len(whole) // 2 :])
+    (tmp_path / "foot.parquet").write_bytes(whole[:-60] + bytes(52) + whole[-8:])
+    (tmp_path / "marks.parquet").write_bytes(b"PAR1" + bytes(20) + b"PAR1")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    for want in (None, schema):
+        rows = readers.audit(spark, str(tmp_path), schema=want).collect()
+        assert {r["path"].split("/")[-1]: r["readable"] for r in rows} == {"good.parquet": True, "pages.parquet": False, "foot.parquet": False, "marks.parquet": False}
+        assert all((r["problem"] is None) == r["readable"] for r in rows)
+    assert not any(r["readable"] for r in readers.audit(spark, str(tmp_path), schema=T.StructType(schema.fields[:1])).collect())
+
+
+def test_long_summaries_are_whole(spark, tmp_path):
+    rows = spark.range(10_500).select(F.col("id").cast("string").alias("value"))
+    writers.with_summary(rows.limit(1), rows, str(tmp_path / "s"))
+    writers.report(rows, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "s/summary")).count() == spark.read.text(str(tmp_path / "r")).count() == 10_500
