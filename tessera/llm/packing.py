@@ -1,10 +1,10 @@
 """Best-fit packing of token pieces by patterns.
 
 All that decides is the histogram of piece lengths, which has at most ``capacity`` bars whatever the input. Patterns
-of a few lengths that fill a sequence are enumerated from it; non-negative least squares fits how often each is
-repeated; the counts are rounded down so that no length is overdrawn; and best-fit packs the residual histogram,
-again by patterns with repeat counts. Rows then find their place by their rank among the pieces of their length, so
-no row's place depends on another task.
+of a few lengths that fill a sequence are enumerated for every length, dearest first by what the fit so far leaves
+over; non-negative least squares fits how often each is repeated; the counts are rounded within what there is, and
+what rounding leaves is fitted again; best fit packs the residual histogram, again by patterns with repeat counts.
+Rows then find their place by their rank among the pieces of their length, so no row's place depends on another task.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from pyspark.sql import types as T
 from .common import ranked, small_batches, table
 
 CAPACITY = 2048
-#: Patterns offered to the fit; a bound on the driver's work, not on what is packed.
-PATTERNS = 6000
+#: Members of a pattern, rounds in which patterns are priced and added, and steps of a fit. They bound the driver's work;
+#: whatever the fit leaves over is packed by best fit.
+MEMBERS, ROUNDS, STEPS = 5, 4, 60
+#: Tokens of 2048 that patterns may leave free, the fullest patterns first. Of what is left, a fit that packs no more
+#: than the share AGAIN isn't repeated. Fitted counts below LEAST are none.
+WASTE, AGAIN, LEAST = (0, 2, 16, 128), 0.05, 0.02
 
 
 # ---------------------------------------------------------------- tokens
@@ -88,63 +92,112 @@ def pieces(df: DataFrame, json_path: str, ranks_path: str | None = None, capacit
 
 
 # ---------------------------------------------------------------- plan
-def _candidates(counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of one to four lengths that sum to the capacity, or nearly so, the most plentiful first."""
-    have = np.flatnonzero(counts)
-    found: dict[tuple[int, ...], float] = {}
-
-    def add(*lengths: int) -> None:
-        p = tuple(sorted(lengths, reverse=True))
-        found[p] = float(min(counts[x] for x in p))
-
-    for a in have.tolist():
-        if a == capacity:
-            add(a)
-        elif counts[capacity - a] and a >= capacity - a:
-            add(a, capacity - a)
-    top = have[np.argsort(-counts[have], kind="stable")][:160].tolist()
-    for i, a in enumerate(top):
-        for b in top[i:]:
-            if 0 < (c := capacity - a - b) and counts[c]:
-                add(a, b, c)
-    few = top[:24]
-    for i, a in enumerate(few):
-        for j, b in enumerate(few[i:], i):
-            for c in few[j:]:
-                if 0 < (d := capacity - a - b - c) and counts[d]:
-                    add(a, b, c, d)
-    return sorted(found, key=lambda p: (-found[p], p))[:PATTERNS]
-
-
-def fit(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the patterns' lengths nearest to the histogram in least squares (by cyclic
-    coordinate descent, which converges for this convex problem)."""
-    x, rest = np.zeros(len(patterns)), counts.astype(float).copy()
-    uses = [np.unique(p, return_counts=True) for p in patterns]
-    norms = [float((n * n).sum()) for _, n in uses]
+def _fullest(price: np.ndarray, have: np.ndarray, capacity: int, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to ``most`` lengths out of ``have``: the greatest sum of prices with which so many of them sum to exactly
+    s, the last length of such a sum, and the largest sum up to s that there is (-1: none)."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(most):
+        best, last = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+        if not k:
+            best[have], last[have] = price[have], have
+        else:
+            for n in have.tolist():
+                sums = out[-1][0][: capacity + 1 - n] + price[n]
+                if len(at := np.flatnonzero(sums > best[n:])):
+                    best[n + at], last[n + at] = sums[at], n
+        out.append((best, last, np.maximum.accumulate(np.where(np.isfinite(best), np.arange(capacity + 1), -1))))
+    return out
+
+
+def patterns(price: np.ndarray, left: np.ndarray, capacity: int, waste: int, most: int = MEMBERS) -> np.ndarray:
+    """For each length and each number of further members (up to ``most`` in all) the fullest pattern that it begins,
+    the dearest of equally full ones, if it leaves no more than ``waste`` free and ``left`` has its lengths."""
+    have, found = np.flatnonzero(left), []
+    waste = max(waste, int(have[0]) - 1)  # what no length fits into is no waste
+    for k, (_, _, full) in enumerate(sums := _fullest(price, have, capacity, most - 1)):
+        to = full[capacity - have]
+        at = (to >= 0) & (capacity - have - to <= waste)
+        first, rest = have[at], to[at]
+        made = np.zeros((len(first), most), np.int64)
+        made[:, 0] = first
+        for j in range(k, -1, -1):
+            made[:, k - j + 1] = n = sums[j][1][rest]
+            rest = rest - n
+        found.append(made)
+    alone = have[capacity - have <= waste]
+    found.append(np.pad(alone[:, None], ((0, 0), (0, most - 1))))
+    made = -np.sort(-np.concatenate(found), axis=1)
+    times = (made[:, :, None] == made[:, None, :]).sum(axis=2)
+    return made[((times <= left[made]) | (made == 0)).all(axis=1)]
+
+
+def _lengths(made: np.ndarray, repeats: np.ndarray, capacity: int) -> np.ndarray:
+    """How often patterns so repeated use each length."""
+    out = np.bincount(made.ravel(), np.repeat(repeats, made.shape[1]), capacity + 1)
+    out[0] = 0
+    return out
+
+
+def fit(made: np.ndarray, counts: np.ndarray, rounds: int = STEPS) -> np.ndarray:
+    """Repeat counts x >= 0 that bring the patterns' lengths nearest to the histogram in least squares, by
+    multiplicative steps, of which none raises the error."""
+    wanted = counts.astype(float)
+    wanted[0] = 0
+    aim, x = wanted[made].sum(axis=1), np.ones(len(made))
     for _ in range(rounds):
-        moved = 0.0
-        for k, (at, n) in enumerate(uses):
-            new = max(0.0, x[k] + float(rest[at] @ n) / norms[k])
-            if step := new - x[k]:
-                x[k] = new
-                rest[at] -= step * n
-                moved = max(moved, abs(step))
-        if moved < 0.25:
-            break
+        x = x * aim / np.maximum(_lengths(made, x, len(counts) - 1)[made].sum(axis=1), 1e-12)
     return x
 
 
+def fitted(left: np.ndarray, capacity: int, waste: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns with their repeat counts: priced by what the fit so far leaves over, added, and all fitted anew, until
+    ROUNDS are over or no pattern is new. ``rng`` keeps equal prices from always choosing the same lengths."""
+    made, x, rest = np.zeros((0, MEMBERS), np.int64), np.zeros(0), left.astype(float)
+    for _ in range(ROUNDS):
+        price = np.maximum(rest, 0) * (1 + rng.random(capacity + 1))
+        more = np.unique(np.concatenate([made, patterns(price, left, capacity, waste)]), axis=0)
+        if len(more) == len(made):
+            break
+        made = more
+        x = fit(made, left)
+        rest = left - _lengths(made, x, capacity)
+    return made, x
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that together use each length exactly counts[length] times; no pattern exceeds the capacity."""
+    by_fit, residual = split_plan(counts, capacity)
+    return by_fit + residual
+
+
+def split_plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], list[tuple[tuple[int, ...], int]]]:
+    """What the fitted patterns pack, and what best fit packs of the rest.
+
+    Rounded counts can't use up every length, so what they leave is fitted again, with patterns that may leave
+    ever more free, for as long as that packs a good part of it.
+    """
+    left, out, rng = counts.astype(np.int64).copy(), [], np.random.default_rng(0)
+    for waste in WASTE:
+        waste = capacity * waste // CAPACITY
+        while left.any():
+            made, x = fitted(left, capacity, waste, rng)
+            before = int(left.sum())
+            for k in np.argsort(-x, kind="stable").tolist():
+                if x[k] < LEAST:
+                    break
+                at, n = np.unique(made[k][made[k] > 0], return_counts=True)
+                if take := int(min(max(1, np.floor(x[k] + 0.5)), (left[at] // n).min())):
+                    left[at] -= take * n
+                    out.append((tuple(made[k][made[k] > 0].tolist()), take))
+            if before - int(left.sum()) <= AGAIN * before:
+                break
+    return out, best_fit(left, capacity)
+
+
+def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with repeats for a residual histogram: the largest first, then what fits best, over and over."""
     left, out = counts.astype(np.int64).copy(), []
-    patterns = _candidates(left, capacity)
-    for p, x in sorted(zip(patterns, fit(patterns, left)), key=lambda a: -a[1]):
-        at, n = np.unique(p, return_counts=True)
-        if take := int(min(np.floor(x + 1e-9), (left[at] // n).min())):
-            left[at] -= take * n
-            out.append((p, take))
-    have = np.flatnonzero(left).tolist()  # best fit: the largest first, then what fits best, over and over
+    have = np.flatnonzero(left).tolist()
     while have:
         p, room, used = [], capacity, {}
         while True:

@@ -7,9 +7,11 @@ import io
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyarrow import parquet
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, sharding, warc
@@ -170,3 +172,35 @@ def test_fast_coder_agrees(texts):
 
 def test_queries_are_whole():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE) <= set(QUERIES)
+
+
+def test_fitted_patterns_do_the_packing():
+    """On the lengths of a whole table, best fit of the residual makes under a tenth of the sequences of several pieces."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    counts = np.zeros(2049, np.int64)
+    for ids in packing.encode([t or "" for t in parquet.read_table(path, columns=["text"]).column(0).to_pylist()], JSON, RANKS):
+        counts[2048] += (len(ids) + 1) // 2048
+        counts[(len(ids) + 1) % 2048] += 1
+    counts[0] = 0
+    bound = -(-int((counts * np.arange(2049)).sum()) // 2048)
+    for scale in (1, 1000):
+        by_fit, residual = packing.split_plan(counts * scale)
+        several = lambda packed: sum(n for p, n in packed if len(p) > 1)
+        assert several(residual) < 0.1 * (several(by_fit) + several(residual))
+        assert sum(n for _, n in by_fit + residual) <= (bound + 1) * scale
+
+
+def test_lengths_that_fill_no_sequence():
+    counts = np.zeros(2049, np.int64)
+    counts[700] = 10**9
+    assert packing.split_plan(counts) == ([((700, 700), 5 * 10**8)], [])
+    assert packing.plan(np.zeros(2049, np.int64)) == []
+
+
+def test_repeated_rows_are_packed_each(spark):
+    rows = spark.createDataFrame([(1, "same words")] * 3 + [(None, "x")] * 2 + [(1, None)], "doc_id long, text string")
+    got = packing.pack_documents(rows, JSON, RANKS).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 2), (0, 2), (1, 1), (1, 3), (1, 3), (1, 3)]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 6
