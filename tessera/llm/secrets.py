@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is a first layer. A layer is scanned, then unwrapped: percent codes and Unicode escapes are decoded in
-place (so a keyword and an encoded value still stand together), base64 runs and compressed data in them give layers
+Each text is a first layer. A layer is scanned, then unwrapped: percent codes, Unicode escapes, character references
+and text in two bytes a character are decoded in place (so a keyword and an encoded value still stand together), base64 runs and compressed data in them give layers
 of their own. Layers are unwrapped until none is new; a layer seen before is not entered again, so cycles end.
 Every character of a layer knows the span of the text it came from, and findings are reported there.
 """
@@ -33,25 +33,28 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
-ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+?)(?=\\|$)")
+ESCAPE = re.compile(r"(?:\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,8}\})|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
+ONE_ESCAPE = re.compile(r"\\[uxU]\{?([0-9A-Fa-f]+)\}?|&#(?:([0-9]+)|[xX]([0-9A-Fa-f]+));")
+#: Text in two bytes a character, in a layer in which a byte is a character.
+WIDE = re.compile(r"(?:[\x01-\xff]\0){6,}|(?:\0[\x01-\xff]){6,}")
 #: A run may be wrapped: lines that end and begin with its characters are one run.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++)={0,2}")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: base64 characters of the shortest finding, token=abcdef.
 LEAST = 16
 #: What a decoded layer needs for a finding or a further layer; bytes that are no text have it by chance only.
-WORTH = re.compile(r"[A-Za-z0-9+/_.=-]{6}|[A-Za-z0-9+/_-][ \t]*\r?\n|%[0-9A-Fa-f]{2}|\\[uxU]")
+WORTH = re.compile(r"[A-Za-z0-9+/_.=-]{6}|(?:[!-~]\0){6}|&#|[A-Za-z0-9+/_-][ \t]*\r?\n|%[0-9A-Fa-f]{2}|\\[uxU]")
 #: Where compressed data may begin; a frame that zstd skips may stand before it.
 SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18", re.S)
-MAGIC = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd", re.S)
+ZLIB = [bytes((a, b)) for a in range(0x08, 0x88, 16) for b in range(256) if (a * 256 + b) % 31 == 0 and not b & 32]
+MAGIC = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18|\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|" + b"|".join(map(re.escape, ZLIB)), re.S)
 #: Bytes that a compressed blob may expand to at once; a larger one is scanned as a stream.
 EXPANDED = 64 << 20
 #: Bytes taken in and given out at once; a zstd block of 4 bytes may hold 128 KiB.
 STEP, ZSTD_STEP, UNPACKED = 1 << 16, 1 << 8, 1 << 20
 #: Characters of a piece of a stream, and where one may end: no finding, code or base64 run goes over these.
 PIECE = 4 << 20
-APART = re.compile(r"[^A-Za-z0-9+/_.=:%\\'\"\x20\t\r\n-]|(?<=[g-zG-Z])\x20(?=[A-Za-z0-9])")
+APART = re.compile(r"[^A-Za-z0-9+/_.=:%\\'\"\x20\t\r\n{}&#;\0-]|(?<=\0)\0|(?<=[g-zG-Z])\x20(?=[A-Za-z0-9])")
 
 
 def base(text: str) -> list[tuple[int, str, int]]:
@@ -109,7 +112,7 @@ def _percent(code: str) -> list[tuple[str, int, int]] | None:
 def _escape(code: str) -> list[tuple[str, int, int]] | None:
     out, pending = [], None
     for m in ONE_ESCAPE.finditer(code):
-        v = int(m[1], 16)
+        v = int(m[2]) if m[2] else int(m[1] or m[3], 16)
         if 0xD800 <= v < 0xDC00:
             pending = (v, m.start())
             continue
@@ -125,6 +128,12 @@ def _escape(code: str) -> list[tuple[str, int, int]] | None:
     return out or None
 
 
+def _narrow(code: str) -> list[tuple[str, int, int]]:
+    """The characters of text in two bytes a character, in either order."""
+    k = int(code[0] == "\0")
+    return [(code[i + k], i, i + 2) for i in range(0, len(code), 2)]
+
+
 class _Input:
     """The bytes of an iterator of pieces. ``rest`` was taken from it and isn't used yet; ``used`` bytes are. Members
     stand in the first ``end`` bytes, and those of them that are whole in the first ``closed``."""
@@ -148,7 +157,7 @@ class _Input:
 
 
 def _coder(head: bytes):
-    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+    if head[:2] == b"\x1f\x8b" or head[:2] in ZLIB:
         return zlib.decompressobj(47)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
@@ -326,7 +335,9 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
                 found.add((s, kind, e))
         if "%" in layer and (got := _in_place(layer, where, PERCENT, _percent)):
             work.append(iter([got]))
-        if "\\" in layer and (got := _in_place(layer, where, ESCAPE, _escape)):
+        if ("\\" in layer or "&#" in layer) and (got := _in_place(layer, where, ESCAPE, _escape)):
+            work.append(iter([got]))
+        if "\0" in layer and (got := _in_place(layer, where, WIDE, _narrow)):
             work.append(iter([got]))
         work.append(_blobs(layer, where))
     return plain, sorted(found, key=order)
@@ -379,6 +390,7 @@ def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the secrets of its text column masked; all rows and other columns stay."""
+    """``df`` with the secrets of its text column masked; all rows, repeated ones too, and other columns stay. Null text
+    stays null; an empty table gives an empty result."""
     small_batches(df.sparkSession)
     return df.withColumn(text_col, _redacted(F.col(text_col)))
