@@ -3,8 +3,10 @@
 On unit vectors a cosine of at least c is a Euclidean distance of at most r = sqrt(2 - 2c). Sampled pivots partition
 the vectors by the nearest pivot. A vector is replicated to another cell only if the triangle inequality (against the
 cell's radius and both pivot distances) and the distance to the bisecting hyperplane let the cell hold a vector within
-r; of two cells only the later one's vectors are replicated. A cell of many vectors is cut into blocks that count as
-cells. Cells join independently, streaming what was replicated past their own block, so memory is bounded.
+r. A cell of many vectors is cut into blocks that count as cells; of two cells only one's vectors are replicated to the
+other, in turn, so that all cells get alike. Cells join independently, streaming what was replicated past their own
+block, so memory is bounded. Single-precision products find the candidates, with a margin for their rounding; doubles
+decide. Vectors of floats travel as floats.
 
 Equal vectors are one class with a weight from the start. A cell returns the number of links of each class and, of the
 links themselves, only a forest that connects the same classes, so a group of near copies gives a line per member.
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 from .common import attach, components, table
 
 COSINE = 0.95
-#: Vectors of one block, and the most pivots (which the driver and each task hold).
-BLOCK, PIVOTS = 2048, 1024
+#: Vectors of one block, those compared with a block at once, and the most pivots (which the driver and each task hold).
+BLOCK, STRIP, PIVOTS = 4096, 512, 1024
 #: Slack of the distance tests against rounding; it only lets more pairs be compared.
 SLACK = 1e-6
 
@@ -45,21 +47,33 @@ def _dense(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
     return out
 
 
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, vec): unit vectors as bytes of doubles, and a digest of the direction's exact components."""
+def _prepared(batches: Iterator[pa.RecordBatch], form: type) -> Iterator[pa.RecordBatch]:
+    """(id, key, vec): components as bytes of ``form``, which holds them exactly, and a digest of them."""
     for batch in batches:
-        keys, vecs = [], []
-        for v in _dense(batch.column(1)):
-            keys.append(None if v is None else hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest())
-            vecs.append(None if v is None else (v + 0.0).tobytes())
+        vecs = [None if v is None else (v + 0.0).astype(form).tobytes() for v in _dense(batch.column(1))]
+        keys = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "key", "vec"])
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _unit(column: pa.Array, form: type) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), form).reshape(len(column), -1).astype(np.float64)
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
+def hits(a: np.ndarray, b: np.ndarray, small_a: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether the cosine of each pair of unit vectors is at least ``cosine``; small_a: ``a`` in single precision."""
+    near = small_a @ b.T.astype(np.float32) >= cosine - 1e-6 * (16 + a.shape[1])
+    if (rows := np.flatnonzero(near.any(axis=1))).size:
+        cols = np.flatnonzero(near.any(axis=0))
+        near[np.ix_(rows, cols)] &= a[rows] @ b[cols].T >= cosine
+    return near
+
+
+def sends(unit: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether of two different units the first one's vectors are replicated to the second; else it is the other way."""
+    return (unit > to) == ((unit + to) % 2 == 0)
+
+
 class Cells:
     """Pivots of one dimension, with what is known of their cells."""
 
@@ -95,12 +109,9 @@ def _forest(linked: np.ndarray, labels: np.ndarray, own: np.ndarray, others: np.
     return out
 
 
-def _join(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], cosine: float, form: type) -> Iterator[pa.RecordBatch]:
     """(unit, role, node, weight, vec), sorted by unit and role, to (u, v, n): links' numbers (v null) and edges."""
 
-    def hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a @ b.T >= cosine
-
     def out(u, v, n) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])
 
@@ -116,12 +127,12 @@ def _join(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
         nonlocal own, counted, held
         node, weight, vec = (np.concatenate(x) for x in zip(*held))
         held = []
-        own, counted, edges = [node, weight, vec, np.arange(len(node))], np.zeros(len(node), np.int64), []
-        for a in range(0, len(node), BLOCK):
-            near = hits(vec, vec[a : a + BLOCK])
-            near[np.arange(a, min(len(node), a + BLOCK)), np.arange(near.shape[1])] = False
-            counted[a : a + BLOCK] += weight @ near
-            edges += _forest(near, own[3], node, node[a : a + BLOCK])
+        own, counted, edges = [node, weight, vec, np.arange(len(node)), vec.astype(np.float32)], np.zeros(len(node), np.int64), []
+        for a in range(0, len(node), STRIP):
+            near = hits(vec, vec[a : a + STRIP], own[4], cosine)
+            near[np.arange(a, min(len(node), a + STRIP)), np.arange(near.shape[1])] = False
+            counted[a : a + STRIP] += weight @ near
+            edges += _forest(near, own[3], node, node[a : a + STRIP])
         if edges:
             yield out([e[0] for e in edges], [e[1] for e in edges], [None] * len(edges))
 
@@ -137,7 +148,7 @@ def _join(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
                     yield from start()
                 yield from close()
                 unit, own, counted, held = units[a], None, None, []
-            node, weight, vec = part.column(2).to_numpy(), part.column(3).to_numpy(), _unit(part.column(4))
+            node, weight, vec = part.column(2).to_numpy(), part.column(3).to_numpy(), _unit(part.column(4), form)
             if roles[a] == 0:
                 held.append((node, weight, vec))
                 continue
@@ -145,15 +156,15 @@ def _join(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
                 yield from start()
             if own is None:
                 continue
-            for c in range(0, len(node), BLOCK):
-                near = hits(own[2], vec[c : c + BLOCK])
+            for c in range(0, len(node), STRIP):
+                near = hits(own[2], vec[c : c + STRIP], own[4], cosine)
                 if not near.any():
                     continue
-                counted += near @ weight[c : c + BLOCK]
+                counted += near @ weight[c : c + STRIP]
                 back = own[1] @ near
                 at = np.flatnonzero(back)
-                yield out(node[c : c + BLOCK][at], [None] * len(at), back[at])
-                edges = _forest(near, own[3], own[0], node[c : c + BLOCK])
+                yield out(node[c : c + STRIP][at], [None] * len(at), back[at])
+                edges = _forest(near, own[3], own[0], node[c : c + STRIP])
                 yield out([e[0] for e in edges], [e[1] for e in edges], [None] * len(edges))
     if held:
         yield from start()
@@ -170,7 +181,8 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     """
     spark, r = df.sparkSession, float(np.sqrt(2 - 2 * cosine))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    all_rows = table(df.select(F.col(id_col).cast("long").alias("id"), vec_col).mapInArrow(_prepared, "id long, key binary, vec binary"))
+    form = np.float32 if isinstance(getattr(df.schema[vec_col].dataType, "elementType", None), T.FloatType) else np.float64
+    all_rows = table(df.select(F.col(id_col).cast("long").alias("id"), vec_col).mapInArrow(lambda b: _prepared(b, form), "id long, key binary, vec binary"))
     rows = all_rows.filter("key is not null")
     classes = rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec"))
     classes = table(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -182,7 +194,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     base, cells = {}, {}
     for size, held in sorted(by_size.items()):
         base[size] = sum(len(c.pivots) for c in cells.values())
-        cells[size] = Cells(_unit(pa.array(held, pa.binary())))
+        cells[size] = Cells(_unit(pa.array(held, pa.binary()), form))
     n_cells = sum(len(c.pivots) for c in cells.values())
     lost = n_cells  # vectors of a length that no pivot has: one cell for all, compared by length
 
@@ -192,7 +204,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
             home, far = np.full(len(sizes), lost), np.full(len(sizes), 2.0)
             for size, c in cells.items():
                 if len(at := np.flatnonzero(sizes == size)):
-                    d = c.distances(_unit(batch.column(2).take(pa.array(at))))
+                    d = c.distances(_unit(batch.column(2).take(pa.array(at)), form))
                     home[at], far[at] = base[size] + d.argmin(axis=1), d.min(axis=1)
             # lengths without a pivot get cells of their own beyond the others
             home = np.where(home == lost, lost + sizes, home)
@@ -207,10 +219,14 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
         first_unit[h], units = units, units + blocks[h]
     radius = np.array([known[j]["far"] if j in known else -9.0 for j in range(n_cells)])
 
+    unit_cell = np.repeat(sorted(known), [blocks[h] for h in sorted(known)])
+    pivoted = unit_cell < n_cells
+
     def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(512, (1 << 24) // max(1, units)))
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 node, home = batch.column(0).to_numpy(), batch.column(3).to_numpy()
                 sizes = np.array([len(v.as_buffer()) for v in batch.column(2)])
                 reach = np.zeros((len(node), n_cells), bool)
@@ -218,25 +234,23 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
                     at = np.flatnonzero(sizes == size)
                     if len(at):
                         lo, hi = base[size], base[size] + len(c.pivots)
-                        x = _unit(batch.column(2).take(pa.array(at)))
+                        x = _unit(batch.column(2).take(pa.array(at)), form)
                         reach[at, lo:hi] = c.reach(c.distances(x), home[at] - lo, radius[lo:hi], r)
-                row, unit, role = [], [], []
-                for i, (k, h) in enumerate(zip(node.tolist(), home.tolist())):
-                    own = (k * 0x9E3779B97F4A7C15 >> 20) % blocks[h]
-                    for b in range(own + 1):
-                        row.append(i), unit.append(first_unit[h] + b), role.append(int(b < own))
-                    for j in np.flatnonzero(reach[i, : min(h, n_cells)]).tolist():
-                        if j in known:
-                            for b in range(blocks[j]):
-                                row.append(i), unit.append(first_unit[j] + b), role.append(1)
+                own = np.array([first_unit[h] + (k * 0x9E3779B97F4A7C15 >> 20) % blocks[h] for k, h in zip(node.tolist(), home.tolist())], np.int64)
+                goes = unit_cell[None, :] == home[:, None]
+                goes[:, pivoted] |= reach[:, unit_cell[pivoted]]
+                goes &= sends(own[:, None], np.arange(units)[None, :])
+                goes[np.arange(len(own)), own] = True
+                row, unit = np.nonzero(goes)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit, pa.int64()), pa.array(role, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], names=["unit", "role", "node", "weight", "vec"]
+                    [pa.array(unit, pa.int64()), pa.array((unit != own[row]).astype(np.int32), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)],
+                    names=["unit", "role", "node", "weight", "vec"],
                 )
 
     spread = homed.mapInArrow(replicas, "unit long, role int, node long, weight long, vec binary")
     dealt = spread.repartition(max(n_parts, min(units, 8 * n_parts)), "unit").sortWithinPartitions("unit", "role")
-    found = table(dealt.mapInArrow(lambda b: _join(b, cosine), "u long, v long, n long"))
+    found = table(dealt.mapInArrow(lambda b: _join(b, cosine, form), "u long, v long, n long"))
     counts = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "node")
     rooted = components(found.filter("v is not null").select("u", "v"))
     facts = table(classes.select("node", "key", "first", "w").join(counts, "node", "left").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")))

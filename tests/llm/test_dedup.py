@@ -149,3 +149,26 @@ def test_near_vectors(spark, block):
     assert got == {i: (links[i], u.top(i), u.top(i) == i) for i in every}
     assert vectors.near_vectors(df.limit(0)).count() == 0
     assert [tuple(r) for r in vectors.near_vectors(spark.createDataFrame([(None, [1.0, 2.0])], df.schema["vec_id"].name + " long, embedding array<double>")).collect()] == [(None, 0, None, False)]
+
+
+def test_one_of_two_units_sends():
+    for u in range(7):
+        for w in range(7):
+            assert u == w or vectors.sends(np.int64(u), np.int64(w)) != vectors.sends(np.int64(w), np.int64(u))
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_near_vectors_of_floats(spark, block):
+    """Cosines on both sides of the limit, in single precision, in many small blocks."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 16)).astype(np.float32)
+    every = np.concatenate([base, *[(b + rng.normal(size=(12, 16)) * 0.08).astype(np.float32) for b in base[:12]], base[:5] * 2])
+    x = every.astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    near = x @ x.T >= 0.95
+    u = Union()
+    for a, b in zip(*np.nonzero(near)):
+        u.join(int(a), int(b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<float>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, block=block).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, u.top(i)) for i in range(len(every))}
