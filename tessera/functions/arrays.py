@@ -55,6 +55,12 @@ def selected(items: Column, mask: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(items.alias("x"), mask.alias("m")), lambda z: z["m"]), lambda z: z["x"])
 
 
+def scattered(items: Column, mask: Column, values: Column) -> Column:
+    """items with those under the mask replaced by ``values`` in order; the inverse of ``selected``."""
+    before = lambda i: F.size(F.filter(F.slice(mask, F.lit(1), i + 1), lambda m: m))
+    return F.transform(items, lambda x, i: F.when(F.element_at(mask, i + 1), F.try_element_at(values, before(i))).otherwise(x))
+
+
 def chosen(mask: Column, a: Column, b: Column) -> Column:
     return F.transform(F.arrays_zip(mask.alias("m"), a.alias("a"), b.alias("b")), lambda z: F.when(z["m"], z["a"]).otherwise(z["b"]))
 

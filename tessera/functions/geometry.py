@@ -30,13 +30,24 @@ def pad_square(width: Column, height: Column) -> Column:
 
 
 def bounded_resize(width: Column, height: Column, longest: int = 1344, shortest: int = 672) -> Column:
-    """(width, height) after the shorter side is set to at most ``shortest`` so that the longer stays under ``longest``."""
+    """(width, height) to which an image over the limit shrinks: the shorter side is set to at most ``shortest`` so that the
+    longer stays under ``longest``. ``display_size`` leaves images within the limit alone."""
     ratio = F.greatest(width, height) / F.least(width, height)
     short = F.floor(F.least(longest / ratio, F.lit(shortest), F.least(width, height))).cast("int")
     long = F.floor(short * ratio).cast("int")
     return F.struct(F.when(height > width, short).otherwise(long).alias("width"), F.when(height > width, long).otherwise(short).alias("height"))
 
 
+def display_size(width: Column, height: Column, longest: int = 1344, shortest: int = 672, fixed: int | None = None) -> Column:
+    """(width, height) at which an image is shown: a longer side over ``longest`` makes it shrink. ``fixed``: both sides are
+    set to this first."""
+    if fixed:
+        width, height = F.lit(fixed), F.lit(fixed)
+    small = bounded_resize(width, height, longest, shortest)
+    own = F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+    return F.when(F.greatest(width, height) > longest, small).otherwise(own)
+
+
 def quadrants(df: DataFrame, n: int, width: str = "width", height: str = "height") -> DataFrame:
     """The first n of the four quarters of each image: crop, left, top, right, bottom."""
     w, h = F.col(width), F.col(height)

@@ -12,7 +12,7 @@ CJK_PUNCTUATION = "，。？！“”‘’｜、·～"
 # Words and bracketed forms that mean yes or no.
 YES_WORDS, NO_WORDS = ("yes", "是"), ("no", "否", "不")
 YES_FORMS, NO_FORMS = ("(yes)", "[yes]", "<yes>", "yes)"), ("(no)", "[no]", "<no>", "no)")
-BLANKS = " \n\t\r\x0b\x0c"
+BLANKS = " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
@@ -110,6 +110,30 @@ def reply_content(json: Column) -> Column:
     return F.coalesce(F.try_element_at(body["response"]["body"]["choices"], F.lit(1))["message"]["content"], F.lit(""))
 
 
+def reply(json: Column) -> Column:
+    """(custom_id, value) of a batch reply: its content without code fences. Null unless there is an id, status 200 and a
+    well-formed reply; a message that is missing is empty."""
+    shape = "struct<custom_id:string,response:struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>>>>"
+    whole = F.from_json(json, shape)
+    choices = whole["response"]["body"]["choices"]
+    content = F.coalesce(F.try_element_at(choices, F.lit(1))["message"]["content"], F.lit(""))
+    good = (F.coalesce(whole["custom_id"], F.lit("")) != "") & (whole["response"]["status_code"] == 200) & (choices.isNull() | (F.size(choices) > 0))
+    return F.when(good, F.struct(whole["custom_id"].alias("custom_id"), unfence(content).alias("value")))
+
+
+def request_id(key: Column, column: Column | str) -> Column:
+    """key-column, filled up with zeros to six characters."""
+    return pad_id(F.concat_ws("-", key.cast("string"), F.lit(column) if isinstance(column, str) else column))
+
+
+def md5_base64(data: Column) -> Column:
+    return F.md5(F.base64(data))
+
+
+def epoch(time: Column) -> Column:
+    return F.unix_timestamp(time)
+
+
 def origin(file_name: Column) -> Column:
     """The letters that a file name begins with."""
     return F.regexp_extract(file_name, "^([A-Za-z]+)", 1)

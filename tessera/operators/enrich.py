@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import pad_id
+from tessera.functions.text import pad_id, reply, request_id
+from tessera.plans.store import fresh
 
 
 def enrich(df: DataFrame, column: str, fn: Callable[[str], tuple[str, dict]], to: str | None = None, tries: int = 5) -> DataFrame:
@@ -51,13 +52,30 @@ def write_back(df: DataFrame, id_col: str, columns: list[str], results: DataFram
     return out.select(*[F.coalesce(f"_new_{c}", F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def resolve_references(df: DataFrame, key: str, ref: str, value: str) -> DataFrame:
+def replies(df: DataFrame, json: str) -> DataFrame:
+    """(custom_id, value) of the batch replies that succeeded; errors and malformed lines give no row, so they write
+    nothing back."""
+    return df.select(reply(F.col(json)).alias("_reply")).filter("_reply is not null").select("_reply.*")
+
+
+def write_replies(df: DataFrame, id_col: str, columns: list[str], results: DataFrame) -> DataFrame:
+    """Cells replaced by results (custom_id, value) of their request id (see ``text.request_id``), where there is one."""
+    wanted = df.select(F.col(id_col).alias("_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), request_id(F.col(id_col), c).alias("k")) for c in columns])).alias("_w"))
+    found = wanted.select("_id", F.col("_w.c").alias("_column"), F.col("_w.k").alias("custom_id")).join(results, "custom_id")
+    wide = found.groupBy("_id").pivot("_column", columns).agg(F.first("value"))
+    wide = wide.select("_id", *[F.col(f"`{c}`").alias(f"_new_{c}") for c in columns])
+    out = df.join(wide, F.col(id_col) == F.col("_id"), "left")
+    return out.select(*[F.coalesce(f"_new_{c}", F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def resolve_references(df: DataFrame, key: str, ref: str, value: str, inline: int | None = None) -> DataFrame:
     """Rows whose ``ref`` is another row's key take that row's value; rows with no number there keep their own; rows
-    whose reference leads nowhere go."""
-    target = df.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    number = F.col(ref).try_cast("bigint")
-    found = df.withColumn("_key", number).join(target, "_key", "left")
-    return found.filter(F.col("_key").isNull() | F.col("_value").isNotNull()).withColumn(value, F.coalesce("_value", F.col(value))).drop("_key", "_value")
+    whose reference leads nowhere go. With ``inline`` only values of more characters than that can be referred to."""
+    key_, value_ = fresh(df.columns, "_key", "_value")
+    target = df.select(F.col(key).alias(key_), F.col(value).alias(value_))
+    target = target if inline is None else target.filter(F.length(value_) > inline)
+    found = df.withColumn(key_, F.col(ref).try_cast("bigint")).join(target, key_, "left")
+    return found.filter(F.col(key_).isNull() | F.col(value_).isNotNull()).withColumn(value, F.coalesce(value_, F.col(value))).drop(key_, value_)
 
 
 def correlate(waiting: DataFrame, results: DataFrame, key: str, column: str, default: str) -> DataFrame:

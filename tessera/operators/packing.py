@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.arrays import masked_prefix
+from tessera.plans.store import fresh
 from tessera.schemas import CODES, IGNORE_INDEX, TEXT_VOCAB
 
 
@@ -38,24 +40,30 @@ def layout_dialogue(turns: Column, codes: Column, start: int, end: int, most: in
 def plan(df: DataFrame, key: str, order: str, length: str, capacity: int) -> DataFrame:
     """Adds pack, at (offset in the pack), sequence (from 1) and keep (tokens that go in) along ``order`` in each key.
 
-    Greedy as rows come: a row that overflows is cut at the capacity, its rest is dropped and the pack closes. The
-    state is two numbers, so only lengths are folded; tokens are joined later. A key is a shard of bounded rows.
+    Greedy as rows come: a row that overflows is cut at the capacity, its rest is dropped and the pack closes. A null
+    length counts as 0. The state is three numbers, so only lengths are folded, streaming over sorted batches; tokens
+    are joined later. A key is folded by one task.
     """
-    schema = T.StructType([*df.select(key, order).schema.fields, *[T.StructField(c, T.LongType()) for c in ("pack", "at", "sequence", "keep")]])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        at, pack, sequence, out = 0, 0, 0, []
-        for n in rows[length].tolist():
-            sequence += 1
-            keep = min(n, capacity - at)
-            out.append((pack, at, sequence, keep))
-            at += n
-            if at >= capacity:
-                at, pack, sequence = 0, pack + 1, 0
-        return pd.concat([rows[[key, order]].reset_index(drop=True), pd.DataFrame(out, columns=["pack", "at", "sequence", "keep"], dtype="int64")], axis=1)
-
-    return df.select(key, order, length).groupBy(key).applyInPandas(fold, schema)
+    own = df.select(key, order).schema.fields
+    schema = T.StructType([*own, *[T.StructField(c, T.LongType()) for c in ("pack", "at", "sequence", "keep")]])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, pack, sequence = None, 0, 0, 0
+        for batch in batches:
+            out = ([], [], [], [])
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if (k,) != last:
+                    last, at, pack, sequence = (k,), 0, 0, 0
+                sequence += 1
+                for to, v in zip(out, (pack, at, sequence, min(n, capacity - at))):
+                    to.append(v)
+                at += n
+                if at >= capacity:
+                    at, pack, sequence = 0, pack + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in out]], names=schema.names)
+
+    lengths = df.select(key, order, F.coalesce(F.col(length), F.lit(0)).cast("long").alias(fresh([key, order], "_length")[0]))
+    return lengths.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
 
 
 def packed(planned: DataFrame, key: str, ids: str = "ids", labels: str = "labels") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import picked, unit_hash
-from tessera.plans.store import ordinal, running
+from tessera.plans.store import fresh, ordinal, running
 from tessera.schemas import MISSING, UNCONDITIONAL
 
 
@@ -23,10 +23,12 @@ def drop_missing(df: DataFrame, columns: list[str], to: str = "dropped") -> Data
 
 
 def head_fraction(df: DataFrame, order: list[str], fraction: float) -> DataFrame:
-    """The first floor(n * fraction) rows along a unique order."""
-    placed = ordinal(df, order, "_ordinal")
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    return placed.join(F.broadcast(n), F.col("_ordinal") < F.floor(F.col("_n") * F.lit(fraction))).drop("_ordinal", "_n")
+    """The first floor(n * fraction) rows along a unique order. Only keys are ranked; rows are kept by the key at the cut."""
+    at, n_, cut = fresh(df.columns, "_ordinal", "_n", "_cut")
+    keys = ordinal(df.select(*order), order, at)
+    n = keys.agg(F.count(F.lit(1)).alias(n_))  # one row
+    last = keys.join(F.broadcast(n), F.col(at) == F.floor(F.col(n_) * F.lit(fraction)) - 1).select(F.struct(*order).alias(cut))  # at most one row
+    return df.join(F.broadcast(last), F.struct(*order) <= F.col(cut)).select(*df.columns)
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -65,37 +67,48 @@ def halves(key: Column | str, seed: int = 3) -> Column:
     return (unit_hash(key, seed=seed) >= 0.5).cast("int")
 
 
-def contiguous(df: DataFrame, order: list[str], k: int, to: str = "shard") -> DataFrame:
-    """k runs of rows along a unique order, the first n mod k of them one longer."""
-    placed = ordinal(df, order, "_ordinal")
-    rows = placed.join(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n"))))  # one row
-    small, more, i = F.floor(F.col("_n") / k), F.col("_n") % k, F.col("_ordinal")
+def _placed(df: DataFrame, order: list[str], at: str | None) -> tuple[DataFrame, str]:
+    """Rows with their ordinal, which ``at`` names if they have one already."""
+    name = at or fresh(df.columns, "_ordinal")[0]
+    return (df if at else ordinal(df, order, name)), name
+
+
+def contiguous(df: DataFrame, order: list[str], k: int, to: str = "shard", at: str | None = None) -> DataFrame:
+    """k runs of rows along a unique order, the first n mod k of them one longer. ``at``: a column that holds ordinals."""
+    placed, name = _placed(df, order, at)
+    n = fresh([*placed.columns, to], "_n")[0]
+    rows = placed.join(F.broadcast(placed.agg(F.count(F.lit(1)).alias(n))))  # one row
+    small, more, i = F.floor(F.col(n) / k), F.col(n) % k, F.col(name)
     edge = more * (small + 1)
     shard = F.when(i < edge, F.floor(i / (small + 1))).otherwise(more + F.floor((i - edge) / F.greatest(small, F.lit(1))))
-    return rows.withColumn(to, shard.cast("int")).drop("_ordinal", "_n")
+    return rows.withColumn(to, shard.cast("int")).drop(n, *([] if at else [name]))
 
 
-def round_robin(df: DataFrame, order: list[str], k: int, to: str = "shard") -> DataFrame:
-    return ordinal(df, order, "_ordinal").withColumn(to, F.pmod("_ordinal", F.lit(k)).cast("int")).drop("_ordinal")
+def round_robin(df: DataFrame, order: list[str], k: int, to: str = "shard", at: str | None = None) -> DataFrame:
+    placed, name = _placed(df, order, at)
+    return placed.withColumn(to, F.pmod(name, F.lit(k)).cast("int")).drop(*([] if at else [name]))
 
 
 def proportional(df: DataFrame, order: list[str], k: int, to: str = "shard") -> DataFrame:
     """Slice r holds ordinals from round(r*n/k) to round((r+1)*n/k), halves rounding to even."""
-    placed = ordinal(df, order, "_ordinal")
-    rows = placed.join(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n"))))  # one row
+    placed, name = _placed(df, order, None)
+    n = fresh([*placed.columns, to], "_n")[0]
+    rows = placed.join(F.broadcast(placed.agg(F.count(F.lit(1)).alias(n))))  # one row
     shard = F.lit(0)
     for r in range(1, k):
-        shard = shard + (F.col("_ordinal") >= F.bround(F.lit(float(r)) * F.col("_n") / k)).cast("int")
-    return rows.withColumn(to, shard).drop("_ordinal", "_n")
+        shard = shard + (F.col(name) >= F.bround(F.lit(float(r)) * F.col(n) / k)).cast("int")
+    return rows.withColumn(to, shard).drop(name, n)
 
 
-def batches(df: DataFrame, order: list[str], size: int, to: str = "batch") -> DataFrame:
+def batches(df: DataFrame, order: list[str], size: int, to: str = "batch", at: str | None = None) -> DataFrame:
     """Runs of ``size`` rows along a unique order."""
-    return ordinal(df, order, "_ordinal").withColumn(to, F.floor(F.col("_ordinal") / size).cast("int")).drop("_ordinal")
+    placed, name = _placed(df, order, at)
+    return placed.withColumn(to, F.floor(F.col(name) / size).cast("int")).drop(*([] if at else [name]))
 
 
 def every_kth(df: DataFrame, order: list[str], k: int) -> DataFrame:
-    return ordinal(df, order, "_ordinal").filter(F.col("_ordinal") % k == 0).drop("_ordinal")
+    placed, name = _placed(df, order, None)
+    return placed.filter(F.col(name) % k == 0).drop(name)
 
 
 def top_k_with_ties(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
@@ -111,11 +124,18 @@ def nucleus(df: DataFrame, by: list[str], p: str, order: list[str], most: float)
 
 
 def softmax(df: DataFrame, by: list[str], x: str, temperature: float = 1.0, to: str = "p") -> DataFrame:
-    """Adds softmax(x / temperature) within groups; maxima and sums are aggregated before they are joined."""
-    scaled = F.col(x) / F.lit(temperature)
-    top = df.groupBy(*by).agg(F.max(scaled).alias("_top"))
-    lifted = df.join(top, by).withColumn("_e", F.exp(scaled - F.col("_top"))).drop("_top")
-    return lifted.join(lifted.groupBy(*by).agg(F.sum("_e").alias("_sum")), by).withColumn(to, F.col("_e") / F.col("_sum")).drop("_e", "_sum")
+    """Adds softmax(x / temperature) within groups, of which null is one like others; a null x has a null result and no
+    share. Maxima and sums are aggregated before they are joined, by keys that nulls equal."""
+    names = fresh([*df.columns, to], "_top", "_sum", *[f"_by_{k}" for k in range(len(by))])
+    top, total, keys = names[0], names[1], names[2:]
+    scaled, same = F.col(x) / F.lit(temperature), F.lit(True)
+    for b, k in zip(by, keys):
+        same = same & F.col(b).eqNullSafe(F.col(k))
+    renamed = lambda groups: groups.withColumnsRenamed(dict(zip(by, keys)))
+    tops = renamed(df.groupBy(*by).agg(F.max(scaled).alias(top)))
+    lifted = df.join(tops, same, "left")
+    sums = lifted.groupBy(*keys, top).agg(F.sum(F.exp(scaled - F.col(top))).alias(total))
+    return df.join(sums, same, "left").withColumn(to, F.exp(scaled - F.col(top)) / F.col(total)).drop(top, total, *keys)
 
 
 def sampled_choice(df: DataFrame, by: list[str], p: str, order: list[str], seed: int = 4) -> DataFrame:
@@ -155,3 +175,22 @@ def forced_separator(scores: Column, position: Column, every: int, separator: in
     """After each run of ``every`` ids only the separator may follow, elsewhere it may not."""
     due = F.pmod(position, F.lit(every + 1)) == every
     return F.transform(scores, lambda x, i: F.when(due == (i == separator), x.cast("double")).otherwise(F.lit(float("-inf"))))
+
+
+def modal_scores(scores: Column, position: Column, vocab: int, kind: str, separator: int = -1, every: int = 32) -> Column:
+    """Scores of a small vocabulary when only text (ids below ``vocab``) or only image codes may follow. In images a
+    separator, if there is one, is forced with score 0 at each (every + 1)-th position, counted from 0."""
+    if kind not in ("text", "image"):
+        raise ValueError("kind must be text or image")
+    low = F.lit(float("-inf"))
+    if kind == "text":
+        return F.transform(scores, lambda x, i: F.when(i < vocab, x.cast("double")).otherwise(low))
+    due = F.pmod(position + 1, F.lit(every + 1)) == 0 if separator >= 0 else F.lit(False)
+    plain = lambda x, i: F.when(i >= vocab, x.cast("double")).otherwise(low)
+    return F.transform(scores, lambda x, i: F.when(due, F.when(i == separator, F.lit(0.0)).otherwise(low)).otherwise(plain(x, i)))
+
+
+def allow_mask(ids: list[int], vocab: int) -> Column:
+    """For each id of a small vocabulary whether it is allowed."""
+    allowed = F.array(*map(F.lit, ids)).cast("array<int>")
+    return F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda i: F.array_contains(allowed, i))

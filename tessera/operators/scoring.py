@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.store import ordinal
+from tessera.functions.text import category_levels
+from tessera.plans.store import beside, fresh
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -25,12 +26,10 @@ def binary_report(df: DataFrame, truth: str, prediction: str, by: list[str] = ()
 
 
 def paired(df: DataFrame, order: str, correct: str, to: str = "pair_correct") -> DataFrame:
-    """Rows with whether they and the next row along ``order`` are both correct, for rows at even places of the order's
-    values; the next row is found by position, over the whole table."""
-    placed = ordinal(df, [order], "_at")
-    after = placed.select((F.col("_at") - 1).alias("_at"), F.col(correct).alias("_next"))
-    both = F.coalesce(F.col(correct) & F.col("_next"), F.lit(False))
-    return placed.join(after, "_at", "left").withColumn(to, F.when(F.col(order) % 2 == 0, both).otherwise(False)).drop("_at", "_next")
+    """Rows with whether they and the next row along ``order`` are both correct, for rows at even values of it."""
+    after = fresh([*df.columns, to], "_next")[0]
+    both = F.coalesce(F.col(correct) & F.col(after), F.lit(False))
+    return beside(df, [order], {after: correct}).withColumn(to, F.when(F.col(order) % 2 == 0, both).otherwise(False)).drop(after)
 
 
 def category_scores(df: DataFrame, category: str, correct: str, pair: str | None = None) -> DataFrame:
@@ -103,10 +102,42 @@ def category_rollup(df: DataFrame, first: str, second: str, score: str) -> DataF
 def last_runs(df: DataFrame, order: str, key: str) -> DataFrame:
     """Rows of each key's last run of consecutive rows along ``order``; earlier runs of a key are overwritten.
 
-    A run starts where the previous row has another key; it is found by position, not by a window over all rows.
+    A run starts where the row before has another key. Starts are joined back by key, of which there is one row each.
     """
-    placed = ordinal(df, [order], "_at")
-    before = placed.select((F.col("_at") + 1).alias("_at"), F.col(key).alias("_before"), F.lit(True).alias("_has"))
-    starts = placed.join(before, "_at", "left").filter(F.col("_has").isNull() | ~F.col(key).eqNullSafe(F.col("_before")))
-    last = starts.groupBy(key).agg(F.max("_at").alias("_from"))
-    return placed.alias("a").join(last, placed[key].eqNullSafe(last[key])).filter("_at >= _from").select("a.*").drop("_at")
+    before, has, start, own = fresh(df.columns, "_before", "_has", "_from", "_key")
+    marked = beside(df.withColumn(has, F.lit(True)), [order], {before: key, start: has}, later=False)
+    starts = marked.filter(F.col(start).isNull() | ~F.col(key).eqNullSafe(F.col(before)))
+    last = starts.groupBy(F.col(key).alias(own)).agg(F.max(order).alias(start))
+    return df.join(last, F.col(key).eqNullSafe(F.col(own))).filter(F.col(order) >= F.col(start)).select(*df.columns)
+
+
+def with_category(results: DataFrame, questions: DataFrame, key: str, category: str) -> DataFrame:
+    """Results with the category of their question; results without a question go."""
+    return results.join(questions.select(key, category), key)
+
+
+def levels(df: DataFrame, label: str) -> DataFrame:
+    """Adds first and second level of a category label."""
+    first, second = category_levels(F.col(label))
+    return df.withColumns({"first": first, "second": second})
+
+
+def category_counts(df: DataFrame, item: str, category: str) -> DataFrame:
+    """(category, n, items): questions, and items that have any."""
+    return df.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(item)).alias("items"))
+
+
+def gathered_mean(df: DataFrame, rank: str, value: str) -> DataFrame:
+    """(ranks, n, mean): over the values that ranks hold; a rank's part is a sum and a count, not a list."""
+    parts = df.groupBy(rank).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
+    return parts.agg(F.count(F.lit(1)).alias("ranks"), F.sum("k").alias("n"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean"))
+
+
+def ceiling(a: Column, b: int) -> Column:
+    """a / b rounded up, for whole numbers."""
+    return F.floor((a + (b - 1)) / b).cast("long")
+
+
+def backoff(attempt: Column, base: float = 1.0) -> Column:
+    """Seconds to wait before a try: base doubled by each earlier one."""
+    return F.lit(base) * F.pow(F.lit(2.0), attempt)

@@ -106,8 +106,8 @@ def unify_union_head_fraction(spark, sf_dir):
 def hash_shuffle_shards(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id").withColumn("h", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("7"))))
     placed = sampling.ordinal(docs, ["h", "doc_id"], "place")
-    whole = sampling.contiguous(placed, ["h", "doc_id"], 8, "contiguous")
-    return whole.select("doc_id", "place", F.pmod("place", F.lit(6)).cast("int").alias("strided"), "contiguous", F.floor(F.col("place") / 64).cast("int").alias("batch"))
+    strided = sampling.round_robin(placed, [], 6, "strided", at="place")
+    return sampling.batches(sampling.contiguous(strided, [], 8, "contiguous", at="place"), [], 64, at="place").select("doc_id", "place", "strided", "contiguous", "batch")
 
 
 @query("""

@@ -48,18 +48,47 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with marks in front that keep them apart from ``columns`` in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ordinal(df: DataFrame, order: list[str | Column], to: str = "ordinal", start: int = 0) -> DataFrame:
-    """Adds each row's global position along ``order`` (a unique key), without a single task that sees all rows.
+    """Adds each row's global position along ``order`` (a unique key), in place of a column so named, without a single
+    task that sees all rows.
 
     Rows are dealt out by sampled ranges and written once; each range counts its rows, and a row's position is its
     range's offset plus its position in the range.
     """
-    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *order).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_in_range", here).join(F.broadcast(offsets), "_range").withColumn(to, (F.col("_in_range") + F.col("_before") - 1 + start).cast("long")).drop("_in_range", "_before", "_range")
+    range_, inside, before_, n = fresh([*df.columns, to], "_range", "_in_range", "_before", "_n")
+    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *order).withColumn(range_, F.spark_partition_id()))
+    before = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(range_).agg(F.count(F.lit(1)).alias(n))  # a row for each range
+    offsets = sizes.withColumn(before_, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    here = F.row_number().over(Window.partitionBy(range_).orderBy(*order))
+    placed = dealt.withColumn(inside, here).join(F.broadcast(offsets), range_)
+    return placed.withColumn(to, (F.col(inside) + F.col(before_) - 1 + start).cast("long")).drop(inside, before_, range_)
+
+
+def beside(df: DataFrame, order: list[str], values: dict[str, str], later: bool = True) -> DataFrame:
+    """Adds (name: column) the values of the next row along a unique order, or with ``later`` off of the row before; null
+    at the end. Rows are dealt out by ranges and written once; only the row over each border is carried, by broadcast."""
+    range_, at, end, edge = fresh([*df.columns, *values], "_range", "_beside", "_end", "_edge")
+    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *order).withColumn(range_, F.spark_partition_id()))
+    held, key = F.struct(*[F.col(c).alias(to) for to, c in values.items()]), F.struct(*order)
+    step = F.lead if later else F.lag
+    here = Window.partitionBy(range_).orderBy(*order)
+    nearest = dealt.groupBy(range_).agg((F.min_by if later else F.max_by)(held, key).alias(edge))  # a row for each range
+    borders = nearest.select(range_, step(edge).over(Window.orderBy(range_)).alias(edge))
+    rows = dealt.withColumns({at: step(held).over(here), end: step(F.lit(1)).over(here).isNull()}).join(F.broadcast(borders), range_)
+    found = F.when(F.col(end), F.col(edge)).otherwise(F.col(at))
+    return rows.select(*[F.col(c) for c in df.columns if c not in values], *[found[to].alias(to) for to in values])
 
 
 def running(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], itself: bool = True) -> DataFrame:
@@ -70,16 +99,20 @@ def running(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[
     range that goes on with the group of the range before it adds that group's sums so far. There are fewer of these
     offsets than ranges, so they are broadcast.
     """
-    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *by, *order).withColumn("_range", F.spark_partition_id()))
-    parts = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_all_{to}") for to, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
-    carried = parts.withColumns({f"_before_{to}": F.sum(f"_all_{to}").over(before) for to in sums} | {"_earlier": F.count(F.lit(1)).over(before)})
-    offsets = carried.filter("_earlier > 0").select(F.col("_range").alias("_to"), *[F.col(b).alias(f"_by_{b}") for b in by], *[f"_before_{to}" for to in sums])
-    here = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
-    same = F.col("_range") == F.col("_to")
+    known = [*df.columns, *sums]
+    range_, to_, earlier = fresh(known, "_range", "_to", "_earlier")
+    all_, before_, here_ = (dict(zip(sums, fresh(known, *[f"{mark}{k}" for k in range(len(sums))]))) for mark in ("_all_", "_before_", "_here_"))
+    keys = dict(zip(by, fresh(known, *[f"_by_{k}" for k in range(len(by))])))
+    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *by, *order).withColumn(range_, F.spark_partition_id()))
+    parts = dealt.groupBy(*by, range_).agg(*[F.sum(c).alias(all_[to]) for to, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    carried = parts.withColumns({before_[to]: F.sum(all_[to]).over(before) for to in sums} | {earlier: F.count(F.lit(1)).over(before)})
+    offsets = carried.filter(F.col(earlier) > 0).select(F.col(range_).alias(to_), *[F.col(b).alias(keys[b]) for b in by], *before_.values())
+    here = Window.partitionBy(*by, range_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    same = F.col(range_) == F.col(to_)
     for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    rows = dealt.withColumns({f"_here_{to}": F.sum(c).over(here) for to, c in sums.items()}).join(F.broadcast(offsets), same, "left")
-    total = lambda to: F.coalesce(F.col(f"_here_{to}") + F.col(f"_before_{to}"), F.col(f"_here_{to}"), F.col(f"_before_{to}"))
+        same = same & F.col(b).eqNullSafe(F.col(keys[b]))
+    rows = dealt.withColumns({here_[to]: F.sum(c).over(here) for to, c in sums.items()}).join(F.broadcast(offsets), same, "left")
+    total = lambda to: F.coalesce(F.col(here_[to]) + F.col(before_[to]), F.col(here_[to]), F.col(before_[to]))
     own = [F.col(c) for c in df.columns if c not in sums]
     return rows.select(*own, *[total(to).alias(to) for to in sums])
