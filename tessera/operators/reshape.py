@@ -149,3 +149,16 @@ def translated_fields(df: DataFrame, fn) -> DataFrame:
 
 def code_count_ok(codes: Column, n: int = CODES_PER_IMAGE) -> Column:
     return F.size(codes) == n
+
+
+def item_maps(df: DataFrame, item: str, key: str, values: list[str]) -> DataFrame:
+    """One row for each item, with a map from key to each value column. An item's rows are few; of equal keys the one with
+    the greatest value counts."""
+    rows = df.groupBy(item, key).agg(*[F.max(v).alias(v) for v in values])
+    return rows.groupBy(item).agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, v)))).alias(v) for v in values])
+
+
+def union_of_sets(df: DataFrame, by: list[str], values: str, to: str = "values") -> DataFrame:
+    """Sorted distinct elements of the arrays of each group, counted apart before they are gathered."""
+    each = df.select(*by, F.explode(values).alias(to)).distinct()
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(to)).alias(to))

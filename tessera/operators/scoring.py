@@ -112,8 +112,9 @@ def last_runs(df: DataFrame, order: str, key: str) -> DataFrame:
 
 
 def with_category(results: DataFrame, questions: DataFrame, key: str, category: str) -> DataFrame:
-    """Results with the category of their question; results without a question go."""
-    return results.join(questions.select(key, category), key)
+    """Results with the category of their question, or null; keys are compared as numbers."""
+    asked = questions.select(F.col(key).try_cast("double").alias("_asked"), category)
+    return results.join(asked, F.col(key).try_cast("double") == F.col("_asked"), "left").drop("_asked")
 
 
 def levels(df: DataFrame, label: str) -> DataFrame:

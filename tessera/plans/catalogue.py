@@ -812,3 +812,6 @@ def dialogue_export_whole(spark, sf_dir):
 def windowed_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+from tessera.plans import catalogue_files  # noqa: E402,F401  registers its queries
