@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import attach, shared_dir, table
+from .common import HEAVY_KEYS, shared_dir, table
 
 #: Columns from headers, in order, and the payload. All header columns can be pushed down.
 HEADERS = {
@@ -179,8 +179,8 @@ class WarcReader(DataSourceReader):
         self.declared = {c: set(v) for c, v in json.loads(options.get("where", "{}")).items()}
 
     def pushFilters(self, filters):
-        # Spark shares a reader among the scans of one relation, so only what the relation was opened for is taken;
-        # another predicate, which a later scan may not have, is left to Spark.
+        # Spark keeps what a scan pushed down for all later scans of the same relation, even those without a filter, so
+        # only what the relation was opened for is taken; any other predicate is left to Spark, which filters rows.
         for f in filters:
             column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if column in HEADERS and isinstance(f, (EqualTo, EqualNullSafe, In)):
@@ -314,9 +314,15 @@ def revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", ur
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     all_rows = pages.select(F.col(id_col).alias("key"), F.col(uri_col).alias("target_uri"), payload.alias("payload")).withColumn("_same", F.unhex(F.sha2("payload", 256)))
-    groups = table(all_rows.groupBy("_same").agg(F.min("key").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    joined = attach(all_rows, groups, "_same", "_n")
-    response = F.col("key").eqNullSafe(F.col("_first")) | (F.octet_length("payload") < least_bytes)
+    counted = table(all_rows.groupBy("_same").agg(F.min("key").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    # Most payloads occur once and stay where they are. Those in over 1/HEAVY_KEYS of the rows are at most so many; the
+    # others are sent out if Spark finds them under its broadcast threshold, and else joined by a shuffle.
+    repeated, least = counted.filter("_n > 1"), max(64, total // HEAVY_KEYS)
+    heavy, light = repeated.filter(F.col("_n") >= least).drop("_n"), repeated.filter(F.col("_n") < least).drop("_n")
+    rest = all_rows.join(F.broadcast(heavy.select("_same")), "_same", "left_anti").join(light.withColumn("_again", F.lit(True)), "_same", "left")
+    joined = all_rows.join(F.broadcast(heavy), "_same").withColumn("_again", F.lit(True)).unionByName(rest)
+    response = F.col("_again").isNull() | F.col("key").eqNullSafe(F.col("_first")) | (F.octet_length("payload") < least_bytes)
     return joined.select(
         "key", "target_uri", F.when(response, "response").otherwise("revisit").alias("record_type"),
         F.when(~response, F.col("_first")).alias("refers_to_key"), "payload",
@@ -326,7 +332,8 @@ def revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", ur
 def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back: id, payload_bytes, payload_digest,
     record_type, refers_to. Responses are read with their payload, which is measured and digested anew; of
-    revisits only headers are read. An empty table gives an empty result."""
+    revisits only headers are read. Null ids and null URLs are written as none; repeated rows are records each (see
+    ``revisits``). An empty table gives an empty result. Other columns are not read."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(revisits(pages, least_bytes, id_col, uri_col, html_col), path)

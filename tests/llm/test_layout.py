@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyarrow import parquet
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, sharding, warc
@@ -204,3 +205,24 @@ def test_repeated_rows_are_packed_each(spark):
     got = packing.pack_documents(rows, JSON, RANKS).collect()
     assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 2), (0, 2), (1, 1), (1, 3), (1, 3), (1, 3)]
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 6
+
+
+def test_unwanted_blocks_are_skipped(monkeypatch):
+    """Records that no predicate wants, and all if no payload is asked for, are passed by without decoding their block."""
+    records = [warc.record({"WARC-Type": ["response", "revisit"][i % 2], "X-Row-Key": str(i), "Content-Type": "application/http"}, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 200_000) for i in range(10)]
+    for data in (b"".join(records), b"".join(map(warc.member, records))):
+        for wanted, payload, decoded in (({"key": {2, 4}}, True, 2), ({"record_type": {"response"}}, True, 5), ({"record_type": {"response"}, "key": {2, 3}}, True, 1), ({}, False, 0)):
+            blocks = []
+            block = warc.Source.block
+            monkeypatch.setattr(warc.Source, "block", lambda self, n: blocks.append(n) or block(self, n))
+            list(warc.rows(io.BytesIO(data), wanted, payload))
+            monkeypatch.setattr(warc.Source, "block", block)
+            assert len(blocks) == decoded
+
+
+def test_archive_of_odd_rows(spark):
+    """Repeated rows, hot payloads, null URLs, and columns that are named like those used inside."""
+    rows = [(1, "u", "a", 7)] * 3 + [(2, None, "a", 7), (3, "u", "b", 7)] + [(i, "u", "hot", 7) for i in range(10, 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload long").withColumns({"key": F.lit(1), "_same": F.lit(2), "_n": F.lit(3)}).repartition(3)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in warc.archive(pages).collect())
+    assert got == sorted([(1, "response", 0)] * 3 + [(2, "revisit", 1), (3, "response", 0), (10, "response", 0)] + [(i, "revisit", 10) for i in range(11, 200)])
