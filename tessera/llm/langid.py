@@ -1,8 +1,9 @@
 """Language identification of mixed text.
 
-Script ranges narrow the candidate languages of each word; letter trigrams score the word in each of them; Viterbi
-over the words, with a penalty for switching, labels spans. Everything is computed in numpy over many texts at once:
-the Viterbi recursion steps through the words of all texts of a block in parallel.
+Script ranges narrow the candidate languages of each word to those that use its script; letter trigrams score the word
+in these alone; Viterbi over the words, with a penalty for switching, labels spans. Everything is computed in numpy over
+many texts at once: the Viterbi recursion steps through the words of all texts of a block in parallel. Executors count
+the trigrams of the sample, so that the driver gets numbers and no text.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: The model is fitted on about so many documents of each language, and on at most so many languages.
+#: By default the model is fitted on about so many documents of each language, and on at most so many languages.
 SAMPLE, LANGUAGES = 1500, 200
 BUCKETS = 1 << 17
-#: Nats that a change of language costs, and what a word in a script that a language doesn't use costs it.
-SWITCH, FOREIGN = 12.0, 60.0
+#: Nats that a change of language costs, and the score of a word in a language that is no candidate for it.
+SWITCH, BARRED = 12.0, -1e9
 #: A language uses a script that holds this share of its letters.
 SHARE = 0.02
 #: Characters of texts that are scored at once, and that Viterbi goes through at once; they bound memory and change no result.
@@ -75,28 +77,47 @@ class Words:
         self.script = script[points[self.start]] if len(self.start) else np.zeros(0, np.uint8)
 
 
+def tally(texts: list[str]) -> np.ndarray:
+    """How often texts have each trigram bucket, and after these their letters in each script."""
+    counts = np.zeros(BUCKETS + len(NAMES))
+    for block in blocks(texts):
+        words = Words(block)
+        counts[:BUCKETS] += np.bincount(words.buckets, minlength=BUCKETS)
+        counts[BUCKETS:] += np.bincount(words.script, words.length, minlength=len(NAMES))
+    return counts
+
+
 class Model:
     """Trigram log-probabilities and scripts of each language."""
 
-    def __init__(self, langs: list[str], texts: list[list[str]]) -> None:
+    def __init__(self, langs: list[str], texts: list[list[str]] = (), counts: np.ndarray | None = None) -> None:
+        """Fits on texts by language, or on their tallies (language by column)."""
         self.langs = langs
-        counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(NAMES), len(langs)))
-        self.common = int(np.argmax([sum(map(len, t)) for t in texts])) if langs else 0
-        for k, own in enumerate(texts):
-            for block in blocks(own):
-                words = Words(block)
-                counts[:, k] += np.bincount(words.buckets, minlength=BUCKETS)
-                scripts[:, k] += np.bincount(words.script, words.length, minlength=len(NAMES))
-        smoothed = counts + 0.05
+        if counts is None:
+            counts = np.array([tally(t) for t in texts]).reshape(len(langs), -1).T if langs else np.zeros((BUCKETS + len(NAMES), 0))
+        smoothed, scripts = counts[:BUCKETS] + 0.05, counts[BUCKETS:]
         self.logs = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
         uses = scripts >= SHARE * np.maximum(1, scripts.sum(axis=0))
-        self.foreign = np.where(uses | ~uses.any(axis=1, keepdims=True), 0, -FOREIGN).astype(np.float32)
+        #: of each script, the languages that use it; all if none does
+        self.candidates = [tuple(np.flatnonzero(u if u.any() else ~u).tolist()) for u in uses]
+        self.narrow: dict[tuple[int, ...], np.ndarray] = {}
 
     def words(self, words: Words) -> np.ndarray:
-        """Scores (word, language)."""
-        if not len(words.start):
-            return np.zeros((0, len(self.langs)), np.float32)
-        return np.add.reduceat(self.logs[words.buckets], words.first, axis=0) + self.foreign[words.script]
+        """Scores (word, language), for candidates only; a word with one candidate needs none."""
+        out = np.full((len(words.start), len(self.langs)), BARRED, np.float32)
+        for s in np.unique(words.script).tolist():
+            own, among = words.script == s, self.candidates[s]
+            if len(among) < 2:
+                out[np.ix_(own, among)] = 0
+                continue
+            if (logs := self.narrow.get(among)) is None:
+                logs = self.narrow[among] = self.logs if len(among) == len(self.langs) else np.ascontiguousarray(self.logs[:, among])
+            if own.all():
+                buckets, first = words.buckets, words.first
+            else:
+                buckets, first = words.buckets[np.repeat(own, words.length)], np.cumsum(words.length[own]) - words.length[own]
+            out[np.ix_(own, among)] = np.add.reduceat(logs[buckets], first, axis=0)
+        return out
 
 
 def blocks(texts: list[str], most: int = BLOCK) -> Iterator[list[str]]:
@@ -191,10 +212,14 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return langs.tolist(), shares
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: str = "true") -> Model:
-    """Fits on about SAMPLE documents of each language (never over twice that in all) where ``learn``, a predicate on
-    doc_id, holds: those whose hash of id falls under the language's share. Languages are counted
-    first; more than LANGUAGES are an error."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: str = "true", sample: int = SAMPLE) -> Model:
+    """Fits on about ``sample`` documents of each language where ``learn``, a predicate on doc_id, holds: those whose hash
+    of id falls under the language's share. Null texts and languages teach nothing; repeated rows count each.
+
+    Languages are counted first; more than LANGUAGES are an error. Executors count trigrams, so that at most BUCKETS
+    numbers a language reach the driver.
+    """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = rows.filter(learn).filter("lang is not null and text is not null")
     langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
@@ -203,9 +228,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     chosen = F.lit(False)
     for x, n in langs.items():
-        chosen = chosen | ((F.col("lang") == x) & (at < min(1 << 30, (SAMPLE << 30) // n)))
-    found = known.filter(chosen).select("lang", "text").limit(2 * SAMPLE * max(1, len(langs))).collect()
-    return Model(sorted(langs), [sorted(r["text"] for r in found if r["lang"] == x) for x in sorted(langs)])
+        chosen = chosen | ((F.col("lang") == x) & (at < min(1 << 30, (sample << 30) // n)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            own, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+            for x in dict.fromkeys(own.tolist()):
+                held[x] = held.get(x, 0) + tally([texts[i] for i in np.flatnonzero(own == x)])
+        for x, counts in held.items():
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(counts[used], pa.float64())], names=["lang", "bucket", "n"])
+
+    names = sorted(langs)
+    parts = known.filter(chosen).select("lang", "text").mapInArrow(count, "lang string, bucket long, n double")
+    found = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((BUCKETS + len(NAMES), len(names)))
+    place = {x: k for k, x in enumerate(names)}
+    counts[found["bucket"].to_numpy(), [place[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
+    return Model(names, counts=counts)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-#: The model is fitted on about so many labelled documents: those whose hash of id falls under their share.
+#: By default the model is fitted on about so many labelled documents: those whose hash of id falls under their share.
 SAMPLE = 12_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 12
 FEATURES = (
@@ -179,14 +179,17 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(list(matrix(texts.tolist())), dtype=object)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: str = "true") -> Model:
-    """Fits on about SAMPLE labelled documents (never over four times that) where ``learn`` (a predicate on doc_id) holds. Only their texts are read out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: str = "true", sample: int = SAMPLE) -> Model:
+    """Fits on about ``sample`` labelled documents (never over four times that) where ``learn`` (a predicate on doc_id) holds.
+    Only features of their texts reach the driver. An id with several labels counts as its highest; rows without an id or a
+    label teach nothing; repeated documents count each."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter(learn).filter("y is not null and doc_id is not null")
     n = max(1, known.count())
     at = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    # about SAMPLE rows of two numbers; an id with several labels counts as its highest
-    picked = known.filter(at < min(1 << 30, (SAMPLE << 30) // n)).groupBy("doc_id").agg(F.max("y").alias("y")).limit(2 * SAMPLE)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").limit(4 * SAMPLE)
+    # about `sample` rows of two numbers
+    picked = known.filter(at < min(1 << 30, (sample << 30) // n)).groupBy("doc_id").agg(F.max("y").alias("y")).limit(2 * sample)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").limit(4 * sample)
     found = rows.select("doc_id", "y", _features("text").alias("x")).collect()  # numbers of a bounded sample
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
     return Model(np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["y"] for r in found]))
@@ -195,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (probability of label 1) and predicted (1 if score >= threshold), in place of columns so named.
 
-    Null text is scored as the empty text; ids play no part. An empty table gives an empty result. If there was
+    Null text is scored as the empty text; ids play no part, and repeated rows are scored each. An empty table gives an empty result. If there was
     nothing to learn from, every score is the smoothed share of label 1.
     """
     small_batches(docs.sparkSession)

@@ -313,3 +313,63 @@ def test_more_languages_than_the_model_holds(spark, monkeypatch):
     with pytest.raises(ValueError):
         langid.fit(rows)
     assert langid.fit(rows.filter("lang <> 'c'")).langs == ["a", "b"]
+
+
+def brute_predict(langs, taught, text, switch=12.0):
+    """Labels one text word by word, with counts and the best path computed plainly."""
+    from collections import Counter
+
+    grams = lambda t: [x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in zip(" " + w, w, w[1:] + " ")]
+    counts = [Counter(g for t in texts for g in grams(t)) for texts in taught]
+    size = langid.BUCKETS * 0.05
+    score = lambda w, k: sum(np.log((counts[k][g] + 0.05) / (sum(counts[k].values()) + size)) for g in grams(w))
+    words = re.findall(r"[^\W\d_]+", text)
+    path = brute_viterbi(np.array([[score(w, k) for k in range(len(langs))] for w in words]), switch)[1]
+    letters = Counter()
+    for w, k in zip(words, path):
+        letters[langs[k]] += len(w)
+    return letters.most_common(1)[0][0], max(letters.values()) / sum(letters.values())
+
+
+def test_predictions_against_plain_counts():
+    """Two languages of one script, so that all words are scored; mixed texts."""
+    say, langs = sample_languages(), ["aa", "bb"]
+    taught = [[say(x, 50) for _ in range(20)] for x in langs]
+    model = langid.Model(langs, taught)
+    texts = [f"{say('aa', a)} {say('bb', b)}" for a, b in ((30, 3), (2, 30), (12, 9), (9, 14), (1, 1))]
+    for t, lang, share in zip(texts, *langid.predict(model, texts)):
+        want, part = brute_predict(langs, taught, t)
+        assert lang == want and share == pytest.approx(part)
+
+
+def test_words_are_scored_in_candidates_alone():
+    say = sample_languages()
+    model = langid.Model(["aa", "bb", "cc"], [[say(x, 50) for _ in range(20)] for x in ("aa", "bb", "cc")])
+    scores = model.words(langid.Words(["kato лено skavän 日本"]))
+    barred = scores == np.float32(langid.BARRED)
+    assert barred.tolist() == [[False, False, True], [True, True, False], [False, False, True], [False, False, False]] and scores[1, 2] == 0
+
+
+def test_repeated_rows_and_nulls_of_languages_and_scores(spark):
+    say = sample_languages()
+    rows = [(i % 30, say(x, 30), x) for i, x in enumerate(["aa", "bb", "cc"] * 40)] + [(None, "kato", None), (1, None, "aa"), (1, None, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    got = langid.identify(df, model)
+    assert got.count() == len(rows) and {r["lang_pred"] for r in got.filter("text is null").collect()} == {"und"}
+    assert langid.fit(df, sample=5).langs == ["aa", "bb", "cc"]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(30)] * 2, "doc_id long, quality int")
+    scored = quality.classify(df, quality.fit(df, labels)).collect()
+    assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_scores_are_sums_of_looked_up_numbers():
+    """A plain walk through the tables gives every score."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    model = quality.Model(x, ((x[:, 0] > 0) ^ (x[:, 1] > 0) | (x[:, 2] > 1)).astype(float))
+    for row, score in zip(x, model.score(x)):
+        place = lambda cuts, v: sum(c <= v for c in cuts)
+        total = model.bias + sum(t[place(c, v)] for t, c, v in zip(model.tables, model.cuts, row))
+        total += sum(t[place(model.coarse[a], row[a]), place(model.coarse[b], row[b])] for (a, b), t in model.pairs.items())
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
