@@ -11,9 +11,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.store import discard, partitions, shared_dir, spread, table
+from tessera.plans.store import discard, fresh, partitions, shared_dir, spread, table
 
-__all__ = ["attach", "components", "discard", "partitions", "ranked", "read", "shared_dir", "small_batches", "spread", "table"]
+__all__ = ["attach", "components", "discard", "fresh", "partitions", "ranked", "read", "shared_dir", "small_batches", "spread", "table"]
 
 #: At most so many keys can each hold this share of all rows, so a table of such keys may be broadcast.
 HEAVY_KEYS = 2000
@@ -51,18 +51,18 @@ def ranked(df: DataFrame, by: list[str], order: list[str], to: str) -> DataFrame
     ``by`` takes a bounded number of values. Rows are dealt out by ranges of (by, order), so a value that holds
     most rows spreads over many tasks; each range counts its rows and the offsets of ranges are summed.
     """
-    n = max(2, partitions(df.sparkSession))
-    dealt = table(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
-    counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    here = Window.partitionBy(*by, "_range").orderBy(*order)
+    range_, n, before_, at = fresh([*df.columns, to], "_range", "_n", "_before", "_at")
+    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *by, *order).withColumn(range_, F.spark_partition_id()))
+    counts = dealt.groupBy(*by, range_).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*by).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(before_, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    here = Window.partitionBy(*by, range_).orderBy(*order)
     # ranges are cut along (by, order): there are no more offsets than ranges plus values of `by`
     return (
-        dealt.withColumn("_at", F.row_number().over(here) - 1)
-        .join(F.broadcast(offsets), [*by, "_range"])
-        .withColumn(to, (F.col("_at") + F.col("_before")).cast("long"))
-        .drop("_at", "_before", "_range")
+        dealt.withColumn(at, F.row_number().over(here) - 1)
+        .join(F.broadcast(offsets), [*by, range_])
+        .withColumn(to, (F.col(at) + F.col(before_)).cast("long"))
+        .drop(at, before_, range_)
     )
 
 

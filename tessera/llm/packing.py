@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, small_batches, table
+from .common import fresh, ranked, small_batches, table
 
 CAPACITY = 2048
 #: Members of a pattern, rounds in which patterns are priced and added, and steps of a fit. They bound the driver's work;
@@ -251,7 +251,7 @@ def _slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", order: list[str] = ("_id", "piece")) -> DataFrame:
-    """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``."""
+    """Adds sequence_id and offset, in place of columns so named, to rows with a ``length`` of 1 to ``capacity``."""
     # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in parts.groupBy(length).count().collect():
@@ -270,8 +270,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", ord
             offset[at] = offsets[k]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    dealt = ranked(parts.withColumn("_tie", F.monotonically_increasing_id()), [length], [*order, "_tie"], "_rank")
-    return dealt.withColumn("_place", place(length, "_rank")).select("*", "_place.*").drop("_place", "_rank", "_tie")
+    own = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    tie, rank, found = fresh(own, "_tie", "_rank", "_place")
+    dealt = ranked(parts.select(*own, F.monotonically_increasing_id().alias(tie)), [length], [*order, tie], rank)
+    return dealt.withColumn(found, place(length, rank)).select(*own, f"{found}.*")
 
 
 def pack_documents(df: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
