@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to the shared folder and reads
 again as the next stage's docs. All but the last return the columns of documents. The language model is fitted on
 the labelled rows of the documents that the stage is given.
+
+After the first stage no text is null. A null id is an id like others that is never the smallest; rows that repeat an id
+are documents each, which the stages keep, drop and pack by their own texts. Every stage gives an empty table for an
+empty one. Other columns than those of documents are not carried.
 """
 
 from __future__ import annotations
