@@ -68,6 +68,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE = {
+    "op1_sharding": """
+        WITH RECURSIVE k(n, c, i) AS (SELECT n, n, 0 FROM range(256) t(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM k WHERE i < 8),
+             tab AS (SELECT list(c ORDER BY n) AS t FROM k WHERE i = 8),
+             d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT + 1 AS size FROM documents),
+             b AS (SELECT t, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: (strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1) AS bytes FROM (SELECT DISTINCT t FROM d)),
+             c AS (SELECT b.t, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab.t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, tab),
+             g AS (SELECT t, min(doc_id) AS first, sum(size)::BIGINT AS size FROM d GROUP BY t),
+             p AS (SELECT t, sum(size) OVER (ORDER BY first)::BIGINT AS prefix, size FROM g),
+             total AS (SELECT max(prefix) AS total, max(size) AS largest FROM p),
+             -- halves the span of capacities until one is left; "fits" walks greedily through eight shards
+             s(lo, hi) AS (
+               SELECT greatest(largest, (total + 7) // 8) - 1, total FROM total
+               UNION ALL
+               SELECT CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END FROM (
+                 SELECT lo, hi, (lo + hi) // 2 AS mid, list_reduce(list_prepend(0::BIGINT, list_transform(range(8), lambda z: ((lo + hi) // 2)::BIGINT)), lambda a, m: list_aggregate(list_filter(ends, lambda e: e <= a + m), 'max')) = total AS fits
+                 FROM s, total, (SELECT list_prepend(0::BIGINT, list(prefix ORDER BY prefix)) AS ends FROM p) WHERE hi - lo > 1)),
+             capacity AS (SELECT min(hi) AS capacity FROM s),
+             cuts(k, "at") AS (SELECT 0, 0::BIGINT UNION ALL SELECT k + 1, (SELECT max(prefix) FROM p, capacity WHERE prefix <= cuts."at" + capacity) FROM cuts, total WHERE cuts."at" < total),
+             placed AS (SELECT t, prefix, (SELECT count(*) FROM cuts WHERE k > 0 AND cuts."at" < p.prefix)::INT AS shard FROM p)
+        SELECT doc_id, d.size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY prefix, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM d JOIN placed USING (t) JOIN c USING (t)
+    """,
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -89,4 +110,11 @@ ORACLE = {
              n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
     """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+             x AS (SELECT page_id, first, strlen(h)::BIGINT AS payload_bytes,
+                          array_to_string(list_transform(string_split(sha1(h), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS bits FROM p JOIN g USING (h)),
+             d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: substr(bits, (5 * i + k + 1)::INT, 1)::INT * (16 >> k)))::INT, 1)), '') AS payload_digest FROM x)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+    """,
 }
