@@ -31,18 +31,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, merge: bool = True) -> DataFrame:
     """Inner join of ``rows`` to the one row that ``groups`` has for each ``key`` (never null), however skewed.
 
     ``size`` is the column of ``groups`` with the number of rows of the key. A key with over 1/HEAVY_KEYS of the
     rows is joined by broadcast (there are at most HEAVY_KEYS of these, of fixed width), the others by a sort-merge
-    join in which no key can weigh. ``rows`` is read twice, so it should be cheap to read. Drops ``size``.
+    join in which no key can weigh; without ``merge`` Spark may send them out too if their written size is under its
+    broadcast threshold. ``rows`` is read twice, so it should be cheap to read. Drops ``size``.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     least = max(64, total // HEAVY_KEYS)
     heavy, light = groups.filter(F.col(size) >= least).drop(size), groups.filter(F.col(size) < least).drop(size)
     few = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(few.join(light.hint("merge"), key))
+    return rows.join(F.broadcast(heavy), key).unionByName(few.join(light.hint("merge") if merge else light, key))
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], to: str) -> DataFrame:
