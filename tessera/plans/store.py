@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,36 @@ def table(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     found = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
     found._written = path
+    for block in _blocks:
+        block.tables.append(found)
     return found
 
 
+class _Block:
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: list[str] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept += [t._written for t in tables]
+
+
+_blocks: list[_Block] = []
+
+
+@contextmanager
+def temporary() -> Iterator[_Block]:
+    """Within it, tables are written that nothing reads afterwards: at its end they are deleted, but for those that its
+    ``keep`` was given and those already gone."""
+    block = _Block()
+    _blocks.append(block)
+    try:
+        yield block
+    finally:
+        _blocks.remove(block)
+        discard(*[t for t in block.tables if t._written not in block.kept])
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``table`` wrote, once nothing that is still to run reads it."""
     for df in tables:

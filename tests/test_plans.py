@@ -45,3 +45,17 @@ def test_command_line(spark, tmp_path, capsys):
         main(["path_parse"])
     with pytest.raises(SystemExit):
         main(["no_such_query", SF, str(tmp_path / "none")])
+
+
+def test_tables_of_a_block_go(spark):
+    from tessera.plans.store import table, temporary
+
+    with temporary() as outer:
+        with temporary() as made:
+            a, b = table(spark.range(3)), table(spark.range(4))
+            made.keep(b)
+        assert b.count() == 4 and len(outer.tables) == 2
+        outer.keep(b)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(a._written)
