@@ -11,9 +11,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.store import discard, fresh, partitions, shared_dir, spread, table
+from tessera.plans.store import discard, fresh, partitions, shared_dir, spread, table, temporary
 
-__all__ = ["attach", "components", "discard", "fresh", "partitions", "ranked", "read", "shared_dir", "small_batches", "spread", "table"]
+__all__ = ["attach", "components", "discard", "fresh", "partitions", "ranked", "read", "shared_dir", "small_batches", "spread", "table", "temporary"]
 
 #: At most so many keys can each hold this share of all rows, so a table of such keys may be broadcast.
 HEAVY_KEYS = 2000

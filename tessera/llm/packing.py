@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ranked, small_batches, table
+from .common import fresh, ranked, small_batches, table, temporary
 
 CAPACITY = 2048
 #: Members of a pattern, rounds in which patterns are priced and added, and steps of a fit. They bound the driver's work;
@@ -282,5 +282,7 @@ def pack_documents(df: DataFrame, json_path: str, ranks_path: str | None = None,
     A null or empty text is one piece of one token. Null and repeated ids are packed like others. An empty table
     gives an empty result. Other columns are not read.
     """
-    packed = pack(table(pieces(df, json_path, ranks_path, capacity, id_col, text_col)), capacity)
+    with temporary() as made:
+        packed = pack(table(pieces(df, json_path, ranks_path, capacity, id_col, text_col)), capacity)
+        made.keep(made.tables[-1])  # the pieces dealt out for their places
     return packed.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

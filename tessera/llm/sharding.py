@@ -17,7 +17,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, partitions, ranked, table
+from .common import attach, partitions, ranked, table, temporary
 
 #: Boundaries asked for at first, and for each gap that is split.
 FIRST, SPLIT = 4096, 256
@@ -111,19 +111,21 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     one is large; an empty table gives an empty result. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = table(
-        df.select(
-            F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_key"),
-        )
-    )
-    groups = table(docs.groupBy("_key").agg(F.min("_id").alias("_first"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n")))
-    prefixes, cuts = minimax_cuts(groups, "_first", "_size", shards)
-    place = F.lit(0)
-    for end in cuts[:-1]:
-        place = place + F.when(F.col("prefix") > end, 1).otherwise(0)
-    placed = prefixes.select("_key", "_n", place.alias("shard"), F.col("prefix").alias("_prefix"))
-    rows = attach(docs, placed, "_key", "_n").drop("_key")
-    # repeated rows are told apart by a number that is fixed once the table is written
-    numbered = ranked(rows.withColumn("_tie", F.monotonically_increasing_id()), ["shard"], ["_prefix", "_id", "_tie"], "slot")
+    with temporary() as made:
+        docs = table(
+            df.select(
+                F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+                F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_key"),
+            )
+        )
+        groups = table(docs.groupBy("_key").agg(F.min("_id").alias("_first"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n")))
+        prefixes, cuts = minimax_cuts(groups, "_first", "_size", shards)
+        place = F.lit(0)
+        for end in cuts[:-1]:
+            place = place + F.when(F.col("prefix") > end, 1).otherwise(0)
+        placed = prefixes.select("_key", "_n", place.alias("shard"), F.col("prefix").alias("_prefix"))
+        rows = attach(docs, placed, "_key", "_n").drop("_key")
+        # repeated rows are told apart by a number that is fixed once the table is written
+        numbered = ranked(rows.withColumn("_tie", F.monotonically_increasing_id()), ["shard"], ["_prefix", "_id", "_tie"], "slot")
+        made.keep(made.tables[-1])  # the rows dealt out for their slots, which alone are still read
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")

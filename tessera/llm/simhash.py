@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, components, partitions, small_batches, table
+from .common import attach, components, partitions, small_batches, table, temporary
 
 BITS, DIFFER, SEGMENTS = 64, 2, 2
 SEED = 42
@@ -91,12 +91,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result. Other columns are not read.
     """
     small_batches(df.sparkSession)
-    docs = table(df.select(F.col(id_col).alias("_id"), _fingerprints(F.col(text_col)).alias("fp")))
-    prints = table(docs.groupBy("fp").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    rooted = components(links(prints))
-    known = table(prints.join(rooted, prints.fp == rooted.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
-    roots = table(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
-    named = table(attach(known, roots, "root", "members").select("fp", "component_id", "n"))
+    with temporary() as made:
+        docs = table(df.select(F.col(id_col).alias("_id"), _fingerprints(F.col(text_col)).alias("fp")))
+        prints = table(docs.groupBy("fp").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")))
+        rooted = components(links(prints))
+        known = table(prints.join(rooted, prints.fp == rooted.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+        roots = table(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
+        named = table(attach(known, roots, "root", "members").select("fp", "component_id", "n"))
+        made.keep(docs, named)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return attach(docs, named, "fp", "n").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
