@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, langid, packing, secrets, simhash
-from tessera.llm.common import read, spread, table
+from tessera.llm.common import discard, read, spread, table, temporary
 from tessera.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select(*COLUMNS))
-    for _, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary() as made:
+            before, docs = docs, table(stage(spark, docs, sf_dir))
+            made.keep(docs)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
