@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.sampling import batches, contiguous
-from tessera.plans.store import table
+from tessera.plans.store import table, temporary
 
 
 def json_lines(df: DataFrame, path: str, subset: str | None = None, mode: str = "errorifexists") -> None:
@@ -25,13 +25,14 @@ def json_lines(df: DataFrame, path: str, subset: str | None = None, mode: str =
 
 def equal_shards(df: DataFrame, path: str, order: list[str], n: int = 8) -> None:
     """n Parquet shards (shard=0 ...) of sizes that differ by at most one row, in order."""
-    contiguous(df, order, n, "shard").repartition(n, "shard").write.partitionBy("shard").parquet(path)
+    with temporary():
+        contiguous(df, order, n, "shard").repartition(n, "shard").write.partitionBy("shard").parquet(path)
 
 
 def rolling_shards(df: DataFrame, path: str, order: list[str], rows: int = 2000, form: str = "parquet") -> None:
     """Shards (shard=0 ...) of ``rows`` rows each, the last one shorter."""
-    numbered = batches(df, order, rows, "shard")
-    numbered.repartition("shard").write.partitionBy("shard").format(form).save(path)
+    with temporary():
+        batches(df, order, rows, "shard").repartition("shard").write.partitionBy("shard").format(form).save(path)
 
 
 def _files(df: DataFrame, folder: str, file: str, order: list[str], form: str) -> DataFrame:
@@ -83,13 +84,19 @@ def _runs(names: list[str]) -> Iterator[tuple[str, int, int]]:
 
 def numbered_shards(df: DataFrame, folder: str, order: list[str], rows: int = 2000) -> DataFrame:
     """Parquet files shard_00000.parquet ... of ``rows`` rows each, the last one shorter; gives (file, rows)."""
-    named = batches(df, order, rows, "_shard").withColumn("_file", F.format_string("shard_%05d.parquet", F.col("_shard"))).drop("_shard")
-    return _files(named, folder, "_file", order, "parquet")
+    with temporary() as made:
+        named = batches(df, order, rows, "_shard").withColumn("_file", F.format_string("shard_%05d.parquet", F.col("_shard"))).drop("_shard")
+        written = _files(named, folder, "_file", order, "parquet")
+        made.keep(written)
+    return written
 
 
 def request_files(df: DataFrame, folder: str, order: list[str], request: str, most: int = 50_000, stem: str = "requests") -> DataFrame:
     """Files of ``most`` requests (lines) as ``chunk_names`` names them; gives (file, rows)."""
-    return _files(chunk_names(df, order, most, stem).select("file", request, *order), folder, "file", order, "lines")
+    with temporary() as made:
+        written = _files(chunk_names(df, order, most, stem).select("file", request, *order), folder, "file", order, "lines")
+        made.keep(written)
+    return written
 
 
 def named_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
