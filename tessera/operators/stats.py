@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.store import ordinal, running
+from tessera.plans.store import fresh, ordinal, running
 
 
 def words_of(text: Column) -> Column:
     """White-space tokens."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def ngram_counts(df: DataFrame, tokens: str, n: int, by: list[str]) -> DataFrame:
-    """(by, gram, c): counts of n-grams inside each row's tokens."""
+def _grams(df: DataFrame, tokens: str, n: int, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """(by, c) and a column for each token of an n-gram, whose names are given too: counts of n-grams inside each row's tokens."""
     if not isinstance(n, int) or n < 1:
         raise ValueError("n must be a positive integer")
-    t = F.col(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, F.lit(n)))
-    return df.filter(F.size(t) >= n).select(*by, F.explode(grams).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("c"))
+    t, parts = F.col(tokens), fresh([*by, "c"], *[f"_token_{i}" for i in range(n)])
+    beside = F.arrays_zip(*[F.slice(t, F.lit(i + 1), F.size(t) - n + 1) for i in range(n)])
+    rows = df.filter(F.size(t) >= n).select(*by, F.inline(beside).alias(*parts))
+    return rows.groupBy(*by, *parts).agg(F.count(F.lit(1)).alias("c")), parts
+
+
+def ngram_counts(df: DataFrame, tokens: str, n: int, by: list[str]) -> DataFrame:
+    """(by, gram, c): counts of n-grams inside each row's tokens."""
+    grams, parts = _grams(df, tokens, n, by)
+    return grams.select(*by, F.array(*parts).alias("gram"), "c")
 
 
 def conditional_entropy(df: DataFrame, tokens: str, n: int, by: list[str], cross: list[str] | None = None) -> DataFrame:
@@ -30,9 +37,9 @@ def conditional_entropy(df: DataFrame, tokens: str, n: int, by: list[str], cross
     ends of rows.
     """
     rows = crossing(df, tokens, n, cross) if cross and n > 1 else df
-    grams = ngram_counts(rows, tokens, n, by)
+    grams, parts = _grams(rows, tokens, n, by)
     c = F.col("c").cast("double")
-    prefixes = grams.groupBy(*by, F.slice("gram", F.lit(1), F.lit(n - 1)).alias("prefix")).agg(F.sum("c").alias("p"), F.sum(c * F.log2(c)).alias("s"))
+    prefixes = grams.groupBy(*by, *parts[:-1]).agg(F.sum("c").alias("p"), F.sum(c * F.log2(c)).alias("s"))
     p = F.col("p").cast("double")
     return prefixes.groupBy(*by).agg(F.sum("p").alias("n_grams"), (F.sum(p * F.log2(p) - F.col("s")) / F.sum(p)).alias("h"))
 
