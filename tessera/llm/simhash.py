@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, components, partitions, small_batches, table, temporary
+from .common import attach, components, fresh, partitions, small_batches, table, temporary
 
 BITS, DIFFER, SEGMENTS = 64, 2, 2
 SEED = 42
@@ -83,6 +83,20 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _groups(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Each row's _id, fp and ``more``, and of its component: component_id, root (a fingerprint that names it) and rows."""
+    small_batches(df.sparkSession)
+    with temporary() as made:
+        docs = table(df.select(F.col(id_col).alias("_id"), _fingerprints(F.col(text_col)).alias("fp"), *more))
+        prints = table(docs.groupBy("fp").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")))
+        rooted = components(links(prints))
+        known = table(prints.join(rooted, prints.fp == rooted.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+        roots = table(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("rows")))
+        named = table(attach(known, roots, "root", "members").select("fp", "component_id", "root", "rows", "n"))
+        made.keep(docs, named)
+    return attach(docs, named, "fp", "n")
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable).
 
@@ -90,25 +104,20 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component_id, which is null only where a group has no id at all. Repeated rows give repeated rows. An empty
     table gives an empty result. Other columns are not read.
     """
-    small_batches(df.sparkSession)
-    with temporary() as made:
-        docs = table(df.select(F.col(id_col).alias("_id"), _fingerprints(F.col(text_col)).alias("fp")))
-        prints = table(docs.groupBy("fp").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")))
-        rooted = components(links(prints))
-        known = table(prints.join(rooted, prints.fp == rooted.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
-        roots = table(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
-        named = table(attach(known, roots, "root", "members").select("fp", "component_id", "n"))
-        made.keep(docs, named)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return attach(docs, named, "fp", "n").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return _groups(df, id_col, text_col).select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, and rows without any id in theirs.
-
-    Rows are told apart by their ids: a repeated id stays with all its rows if it is the smallest of a component."""
-    groups = simhash_groups(df, id_col, text_col)
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    # the few ids that go: Spark sends them out if they are under its broadcast threshold, and else moves the texts
-    gone = table(groups.groupBy(F.col(id_col).alias("__gone_id")).agg(F.bool_or(stays).alias("__stays")).filter("not __stays").select("__gone_id"))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left_anti")
+    """The rows of ``df`` of which each component keeps one: that with the smallest id, a null one last, and of rows with
+    that id the one whose text has the smallest hash. Rows of equal id and text share their fate."""
+    with temporary() as made:
+        rows = _groups(df, id_col, text_col, F.xxhash64(text_col).alias("_text"))
+        among = table(rows.filter("rows > 1").select("_id", "_text", "root", "rows", F.col("_id").eqNullSafe(F.col("component_id")).alias("_least")))
+        stays = table(among.filter("_least").groupBy("root").agg(F.min("_text").alias("_stays"), F.max("rows").alias("_rows")))
+        goes = ~(F.col("_least") & (F.col("_text") == F.col("_stays")))
+        id_, text_ = fresh(df.columns, "_gone_id", "_gone_text")
+        # the few rows that go: Spark sends them out if they are under its broadcast threshold, and else moves the texts
+        gone = table(attach(among.drop("rows"), stays, "root", "_rows").filter(goes).select(F.col("_id").alias(id_), F.col("_text").alias(text_)).distinct())
+        made.keep(gone)
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(text_)), "left_anti")

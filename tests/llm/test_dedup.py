@@ -112,6 +112,30 @@ def test_simhash_odd_rows(spark, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that repeat in several groups, null ids, and more columns with names used inside."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 7)))
+    rows = []
+    for g in range(40):
+        t = " ".join(word() for _ in range(30))
+        for k in range(int(rng.integers(1, 6))):
+            i = None if rng.random() < 0.4 else int(rng.integers(0, 12))
+            rows.append((i, t.replace(" ", " " * (k + 1)), g, k))  # equal fingerprints, different texts
+    rows += [(None, rows[0][1], 0, 0), (None, None, 99, 0), (3, None, 99, 0), (3, "", 99, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root long, _gone_id int").repartition(4)
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    groups = defaultdict(set)
+    for i, t, g, _ in rows:
+        groups[g].add((i is None, i or 0, t))
+    got = defaultdict(set)
+    for r in kept.collect():
+        got[r["root"]].add((r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    assert set(got) == set(groups) and all(len(x) == 1 for x in got.values())
+    assert all(min(groups[g])[:2] == min(x)[:2] for g, x in got.items() if g != 99) and min(got[99])[:2] == (False, 3)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2040)] + [(5, 5)]
