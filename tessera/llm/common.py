@@ -53,7 +53,8 @@ def ranked(df: DataFrame, by: list[str], order: list[str], to: str) -> DataFrame
     most rows spreads over many tasks; each range counts its rows and the offsets of ranges are summed.
     """
     range_, n, before_, at = fresh([*df.columns, to], "_range", "_n", "_before", "_at")
-    dealt = table(df.repartitionByRange(max(2, partitions(df.sparkSession)), *by, *order).withColumn(range_, F.spark_partition_id()))
+    # without a number: small ranges beside each other become one, and one file
+    dealt = table(df.repartitionByRange(*by, *order).withColumn(range_, F.spark_partition_id()))
     counts = dealt.groupBy(*by, range_).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*by).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn(before_, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, partitions, table
+from .common import HEAVY_KEYS, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters of a text in its splitter key.
@@ -41,7 +41,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, carry: list) -> DataFram
         rows.join(F.broadcast(hot), "_hash", "left")
         .withColumns({"_salt": salt, "_lead": F.substring("_text", 1, LEAD)})
         .drop("_salts")
-        .repartitionByRange(max(2, partitions(df.sparkSession)), *key)
+        .repartitionByRange(*key)  # without a number: small ranges beside each other become one, and one file
     )
     near = Window.partitionBy(*key, "_text")
     return dealt.withColumns(

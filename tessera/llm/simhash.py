@@ -75,7 +75,7 @@ def links(prints: DataFrame) -> DataFrame:
     crowded = table(met.filter("n > 2").select("key", "n"))  # few beside the keys, which then needn't be shuffled again
     if crowded.isEmpty():
         return pairs
-    members = table(attach(index, crowded, "key", "n", merge=False).select("fp").distinct())
+    members = table(attach(index, crowded, "key", "n", merge=False).select("fp").distinct().hint("rebalance"))  # few, in few files
     ball = F.concat(F.array(F.lit(0).cast("long")), F.array(*[F.lit((1 << i) - (1 << BITS if i == BITS - 1 else 0)).cast("long") for i in range(BITS)]))
     around = members.select("fp", F.explode(ball).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("near"))
     centres = table(around.groupBy("near").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
