@@ -14,12 +14,13 @@ from tessera.functions import arrays, geometry, pixels, text
 from tessera.operators import enrich, packing, reshape, sampling, scoring, stats, templates, vectors
 from tessera.plans import experiments
 from tessera.plans.catalogue import _PACKS, _TURNS, _dialogues, _lengths, _sql, query, read
-from tessera.plans.store import shared_dir
+from tessera.plans.store import running, shared_dir, spread
 from tessera.schemas import CODES, PATH_SPLIT
 from tessera.sources import readers, writers
 from tessera.streaming import jobs
 
 S, L, I = T.StringType(), T.LongType(), T.IntegerType()  # noqa: E741
+BAND = 1024  # pictures that one call paints; even, so that grids of two columns are cut between rows
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 
 
@@ -206,12 +207,14 @@ def pixels_undecodable_rows(spark, sf_dir):
     SELECT g AS s_nationkey, k AS s_suppkey, (i // 2)::INT AS "row", (i % 2)::INT AS "column", (2 * ((n + 1) // 2))::INT AS height, sqrt(n) = floor(sqrt(n)) AS square FROM s
 """)
 def pixels_grid(spark, sf_dir):
-    rows = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")
-    groups = rows.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))  # pictures of one grid
-    height = F.udf(lambda keys: int(pixels.grid([_picture(0)[:2, :3, :3] for _ in keys], 2).shape[0]), "int")
-    each = groups.select("s_nationkey", height("keys").alias("height"), geometry.is_square(F.size("keys")).alias("square"), F.posexplode("keys").alias("i", "s_suppkey"))
+    rows = spread(read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")).withColumn("one", F.lit(1))
+    placed = running(rows, ["s_nationkey"], [F.col("s_suppkey").asc_nulls_last()], {"i": "one"}, itself=False).withColumn("i", F.coalesce("i", F.lit(0)))
+    bands = placed.groupBy(F.col("s_nationkey").alias("grid"), F.floor(F.col("i") / BAND)).agg(F.count(F.lit(1)).alias("n"))
+    painted = F.udf(lambda n: pixels.grid([_picture(0)[:2, :3, :3]] * n, 2).shape[0], "int")  # whole rows of a grid, so heights add up
+    grids = bands.withColumn("height", painted("n")).groupBy("grid").agg(F.sum("n").alias("n"), F.sum("height").cast("int").alias("height"))
     cell = geometry.grid_cell(F.col("i"), 2)
-    return each.select("s_nationkey", "s_suppkey", cell["row"].alias("row"), cell["column"].alias("column"), "height", "square")
+    each = placed.join(grids, F.col("s_nationkey").eqNullSafe(F.col("grid")))
+    return each.select("s_nationkey", "s_suppkey", cell["row"].alias("row"), cell["column"].alias("column"), "height", geometry.is_square(F.col("n")).alias("square"))
 
 
 @query("SELECT p_type, count(*) AS n, (SELECT count(*) FROM part) AS total FROM part GROUP BY p_type")

@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 from tessera.functions import arrays, geometry, text
 from tessera.operators import enrich, packing, reshape, sampling, scoring, templates
-from tessera.plans.catalogue import QUERIES
+from tessera.plans import catalogue_files
+from tessera.plans.catalogue import ORACLE, QUERIES
 from tessera.sources import readers, writers
 from tessera.streaming import jobs
 
@@ -204,3 +205,27 @@ def test_long_summaries_are_whole(spark, tmp_path):
     writers.with_summary(rows.limit(1), rows, str(tmp_path / "s"))
     writers.report(rows, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "s/summary")).count() == spark.read.text(str(tmp_path / "r")).count() == 10_500
+
+
+def odd_matches_sql(spark, folder, name):
+    con = pytest.importorskip("duckdb").connect()
+    for p in folder.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}/*.parquet'")
+    ours, theirs = QUERIES[name](spark, str(folder)), con.sql(ORACLE[name])
+    return sorted(map(repr, (tuple(r[c] for c in theirs.columns) for r in ours.collect()))) == sorted(map(repr, theirs.fetchall()))
+
+
+def test_pictures_of_a_grid_are_painted_once(spark, tmp_path, monkeypatch):
+    calls, picture = str(tmp_path / "calls"), catalogue_files._picture
+
+    def counted(key):
+        with open(calls, "ab") as f:
+            f.write(b".")
+        return picture(key)
+
+    monkeypatch.setattr(catalogue_files, "_picture", counted)
+    monkeypatch.setattr(catalogue_files, "BAND", 8, raising=False)
+    rows = [(1, k) for k in range(300)] + [(2, 5), (2, 5), (2, None), (2, None), (None, 6), (3, None)]
+    spark.createDataFrame(rows, "s_nationkey int, s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert odd_matches_sql(spark, tmp_path, "pixels_grid")
+    assert 0 < (tmp_path / "calls").stat().st_size <= len(rows)
